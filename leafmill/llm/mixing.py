@@ -61,7 +61,7 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = 42,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 2_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",

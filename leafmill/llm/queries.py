@@ -15,6 +15,11 @@ from .mixing import mix
 from .quality import quality_rules
 from .sharding import shard_rows
 from .simhash import simhash_components
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

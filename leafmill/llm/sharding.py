@@ -76,7 +76,7 @@ def shard_rows(
     seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rows_per_partition: int = 100_000,
+    rows_per_partition: int = 5_000,
 ) -> DataFrame:
     """One row per input row: doc_id, size (UTF-8 bytes of the text, null 0, plus 1), text_crc32,
     law 'rows', shard, slot (gapless from 0 in each shard), grown_shard (null).

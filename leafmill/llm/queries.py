@@ -15,6 +15,7 @@ from .mixing import mix
 from .quality import quality_rules
 from .sharding import shard_rows
 from .simhash import simhash_components
+from .substring import substring_dedup
 from .toxicity import toxicity
 
 
@@ -61,6 +62,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 #: WORD, START and END are as in common and chat; DuckDB's \x20\x09-\x0D is the same class.
 OP4 = r"""
 WITH turns AS (

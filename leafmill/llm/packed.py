@@ -15,6 +15,8 @@ The search for repeated windows has four stages over this exchange:
 3. such a bucket finds, of equal windows, all but the earliest;
 4. texts meet their repeated windows and lose what those cover.
 
+Symbols are 48 bits: that two symbols share a name costs candidates, not results.
+
 Equal windows and symbols are collapsed in each map chunk first, so a passage that many documents
 share sends one entry per chunk. Copies of a whole text are found in stage 1 as well: all but the
 earliest need no windows.
@@ -84,6 +86,21 @@ def unpack_all(bodies: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) if parts else np.zeros(0, k) for k, x in zip(kinds, zip(*parts, strict=True) if parts else [()] * len(kinds), strict=True)]
 
 
+SYMBOL_MASK = np.uint64((1 << 48) - 1)
+
+
+def split48(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint16)
+
+
+def join48(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
+def home_kind(nb: int) -> str:
+    return "u2" if nb < 1 << 16 else "u4"
+
+
 def deal(out: Out, kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> None:
     """One row per bucket with that bucket's entries of all arrays."""
     if not len(bucket):
@@ -151,7 +168,7 @@ def symbols_stage(batches: Iterator[pa.RecordBatch], nb: int, symbols_of: Callab
     out = Out()
     for docs in chunks(batches):
         ids = np.array([d for d, _ in docs], np.int64)
-        home = np.mod(ids, nb).astype(np.uint32)
+        home = np.mod(ids, nb).astype(home_kind(nb))
         sym, doc = symbols_of([t for _, t in docs])
         # Collapse: a symbol that occurs twice here is told to its buckets at once and sent once, marked.
         order = np.argsort(sym, kind="stable")
@@ -163,8 +180,8 @@ def symbols_stage(batches: Iterator[pa.RecordBatch], nb: int, symbols_of: Callab
         again, where = s[twice], h[twice]
         if len(again):
             pair = np.unique(np.stack([again, where.astype(np.uint64)], 1), axis=0)
-            deal(out, FLAGS, pair[:, 1].astype(np.int64), pair[:, 0])
-        deal(out, SYMBOLS, (s[first] % np.uint64(nb)).astype(np.int64), s[first], h[first], twice[first].astype(np.uint8))
+            deal(out, FLAGS, pair[:, 1].astype(np.int64), *split48(pair[:, 0]))
+        deal(out, SYMBOLS, (s[first] % np.uint64(nb)).astype(np.int64), *split48(s[first]), h[first], twice[first].astype(np.uint8))
         a, z, at = whole_of([t for _, t in docs])
         order, new, least = first_of(ids[at], a, z)
         a, own = a[order], ids[at][order]
@@ -185,8 +202,9 @@ def repeated_stage(batches: Iterator[pa.RecordBatch], nb: int) -> Emit:
             order, _, least = first_of(ids, a, z)
             later = ids[order] != least
             deal(out, WHOLE, np.mod(ids[order][later], nb), ids[order][later], a[order][later])
-        s, h, many = unpack_all(syms, "u8", "u4", "u1")
-        if len(s):
+        low, high, h, many = unpack_all(syms, "u4", "u2", home_kind(nb), "u1")
+        if len(low):
+            s = join48(low, high)
             order = np.argsort(s, kind="stable")
             s, h, many = s[order], h[order], many[order]
             new = np.ones(len(s), bool)
@@ -194,7 +212,7 @@ def repeated_stage(batches: Iterator[pa.RecordBatch], nb: int) -> Emit:
             group = np.cumsum(new) - 1
             total = np.bincount(group, many.astype(np.int64) + 1)
             hit = total[group] > 1
-            deal(out, SYMBOLS, h[hit].astype(np.int64), s[hit])
+            deal(out, SYMBOLS, h[hit].astype(np.int64), *split48(s[hit]))
 
     now, whole, syms = None, [], []
     for bucket, kind, rows in by_bucket(batches):
@@ -229,7 +247,7 @@ def candidates_stage(batches: Iterator[pa.RecordBatch], nb: int, whole_of: Calla
             syms.extend(rows.column("body").to_pylist())
         else:
             if ready is None:
-                ready = (set(zip(*(x.tolist() for x in unpack_all(later, "i8", "u8")), strict=True)), np.unique(unpack_all(syms, "u8")[0]))
+                ready = (set(zip(*(x.tolist() for x in unpack_all(later, "i8", "u8")), strict=True)), np.unique(join48(*unpack_all(syms, "u4", "u2"))))
                 ids = {d for d, _ in ready[0]}
             copies = ready[0]
             for docs in chunks(iter([rows])):

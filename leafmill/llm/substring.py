@@ -7,8 +7,9 @@ equal stretches get equal symbols inside, whatever surrounds them.
 
 A block knows its context: the words that decide that it is a block. A window of WIDTH words that
 holds the context holds the block, wherever it occurs. So a window can only recur if all blocks whose
-context it holds do; the symbols of those blocks are what Spark counts over all texts. Windows that
-pass (or hold no block) are verified by 128-bit names of their words, built from 128-bit word names.
+context it holds do; the symbols of those blocks are what Spark counts over all texts. A window that
+holds no block is a symbol by itself. Windows that pass are verified by 96-bit names of their words,
+built from 128-bit word names.
 The highest symbol of a text is the whole text: of equal texts all but the earliest are done there.
 """
 
@@ -22,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import ENTRIES, FLAGS, Out, deal, find_repeats, splitmix, unpack_all
+from .packed import ENTRIES, FLAGS, SYMBOL_MASK, Out, deal, find_repeats, splitmix, unpack_all
 
 WIDTH = 20
-ROUNDS = 5
+ROUNDS = 4
 #: Blocks don't grow beyond so many words: a window must hold some.
 MAX_BLOCK = 8
 KNOWN_WORDS = 300_000
@@ -142,6 +143,24 @@ class Parsed:
         # The context must lie in the text.
         ok = (self.lo >= self.begin[self.doc]) & (self.hi <= ends[self.doc])
         self.sym, self.lo, self.hi, self.doc = self.sym[ok], self.lo[ok], self.hi[ok], self.doc[ok]
+        n = len(self.a)
+        self.starts = np.zeros(0, np.int64)
+        if n >= width:
+            starts = np.arange(n + 1 - width)
+            self.starts = starts[starts + width <= ends[self.doc_of_word[: n + 1 - width]]]
+            self.name_a, self.name_z = window_names(self.a, width), window_names(self.z, width)
+            bare = self.starts[~self.holds(np.ones(len(self.sym), bool), width)[self.starts]]
+            self.sym = np.concatenate([self.sym, splitmix(self.name_a[bare])])
+            self.lo, self.hi = np.concatenate([self.lo, bare]), np.concatenate([self.hi, bare + width])
+            self.doc = np.concatenate([self.doc, self.doc_of_word[bare]])
+        self.sym = self.sym & SYMBOL_MASK
+
+    def holds(self, which: np.ndarray, width: int) -> np.ndarray:
+        """For each window start, whether the window holds one of these blocks."""
+        n = len(self.a)
+        begin = np.bincount(np.maximum(self.hi[which] - width, 0), minlength=n + 2)
+        end = np.bincount(self.lo[which] + 1, minlength=n + 2)
+        return (np.cumsum(begin - end) > 0)[: n + 1 - width]
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
@@ -180,22 +199,15 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     def candidates_of(texts: list[bytes], ids: np.ndarray, repeated: np.ndarray, out: Out, nb: int) -> np.ndarray:
         p = Parsed(texts, width)
-        n = len(p.a)
         has = np.zeros(len(texts), bool)
-        if n < width:
+        if not len(p.starts):
             return has
         at = np.minimum(np.searchsorted(repeated, p.sym), max(0, len(repeated) - 1))
         unique = repeated[at] != p.sym if len(repeated) else np.ones(len(p.sym), bool)
-        ruled_out = np.zeros(n + 2, np.int64)
-        np.add.at(ruled_out, np.maximum(p.hi[unique] - width, 0), 1)
-        np.add.at(ruled_out, p.lo[unique] + 1, -1)
-        starts = np.arange(n + 1 - width)
-        ends = p.begin + p.sizes
-        open_ = (np.cumsum(ruled_out)[: n + 1 - width] == 0) & (starts + width <= ends[p.doc_of_word[: n + 1 - width]])
-        s = starts[open_]
+        s = p.starts[~p.holds(unique, width)[p.starts]]
         if not len(s):
             return has
-        a, z, doc = window_names(p.a, width)[s], window_names(p.z, width)[s], p.doc_of_word[s]
+        a, z, doc = p.name_a[s], (p.name_z[s] >> np.uint64(32)).astype(np.uint32), p.doc_of_word[s]
         has[doc] = True
         own, start = ids[doc], (s - p.begin[doc]).astype(np.uint32)
         order = np.lexsort((start, own, z, a))
@@ -209,7 +221,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         return has
 
     def later_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, z, own, start = unpack_all(bodies, "u8", "u8", "i8", "u4")
+        a, z, own, start = unpack_all(bodies, "u8", "u4", "i8", "u4")
         order = np.lexsort((start, own, z, a))
         a, z, own, start = a[order], z[order], own[order], start[order]
         new = np.ones(len(a), bool)

@@ -122,6 +122,34 @@ def first_of(ids: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, new, ids[order][head]
 
 
+def deal_bytes(out: Out, kind: int, bucket: np.ndarray, texts: list[bytes], *arrays: np.ndarray) -> None:
+    """As deal, with a byte string per entry: the count, the arrays, the lengths, the bytes."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    cuts = np.nonzero(b[1:] != b[:-1])[0] + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+        own = order[i:j]
+        if len(own):
+            body = [texts[k] for k in own.tolist()]
+            sizes = np.array([len(x) for x in body], np.uint32)
+            out.add(int(b[i]), kind, body=b"".join([np.int64(len(own)).tobytes(), pack(*[a[own] for a in arrays], sizes), *body]))
+
+
+def unpack_bytes(bodies: list[bytes], *kinds: str) -> tuple[list[bytes], np.ndarray, ...]:
+    texts: list[bytes] = []
+    parts: list[list[np.ndarray]] = []
+    for x in bodies:
+        n, at, own = int(np.frombuffer(x, np.int64, 1)[0]), 8, []
+        for k in (*kinds, "u4"):
+            own.append(np.frombuffer(x, k, n, at))
+            at += n * np.dtype(k).itemsize
+        for size in own.pop().tolist():
+            texts.append(x[at : at + size])
+            at += size
+        parts.append(own)
+    return texts, *[np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that mixes them well."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

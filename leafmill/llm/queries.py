@@ -16,6 +16,7 @@ from .quality import quality_rules
 from .sharding import shard_rows
 from .simhash import simhash_components
 from .substring import substring_dedup
+from .suffix import suffix_dedup
 from .toxicity import toxicity
 
 
@@ -189,6 +190,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 

@@ -104,3 +104,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words",
         failed.alias("base_failed"), kept.alias("kept"), *(["clean_text"] if with_text else []),
     )
+
+
+def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text passes, with their columns as they are: the verdict is computed in place,
+    without a join back."""
+    ids = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
+    return quality_rules(ids, id_col="row", text_col="t").filter("kept").select("doc_id.*")

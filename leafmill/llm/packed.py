@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +69,21 @@ class Out:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, one after another."""
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays of one length, one after another, each as its planes of bytes: those that hardly change
+    then compress to nothing in the exchange."""
+    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+
+
+def plane(body: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
 
 
 def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = [np.dtype(k).itemsize for k in kinds]
     n, at, out = len(body) // sum(sizes), 0, []
     for k, s in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(body, k, n, at))
+        out.append(plane(body, k, n, at))
         at += n * s
     return out
 
@@ -141,7 +148,7 @@ def unpack_bytes(bodies: list[bytes], *kinds: str) -> tuple[list[bytes], np.ndar
     for x in bodies:
         n, at, own = int(np.frombuffer(x, np.int64, 1)[0]), 8, []
         for k in (*kinds, "u4"):
-            own.append(np.frombuffer(x, k, n, at))
+            own.append(plane(x, k, n, at))
             at += n * np.dtype(k).itemsize
         for size in own.pop().tolist():
             texts.append(x[at : at + size])
@@ -158,14 +165,27 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-    """Batches of doc_id, body as lists of documents with about CHUNK_CHARS bytes."""
+def squeezed(batches: Iterator[pa.RecordBatch], nb: int) -> Iterator[pa.RecordBatch]:
+    """Texts for their document buckets, compressed once for all exchanges."""
+    out, press = Out(), zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        for i in range(0, b.num_rows, 128):
+            part = b.slice(i, 128)
+            for d, t in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist(), strict=True):
+                out.add(d % nb, TEXT, d, press(t))
+            yield from out.flush(1 << 22)
+    yield from out.flush()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], pressed: bool = False) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Batches of doc_id, body as lists of documents (id, text, as it came) with about CHUNK_CHARS bytes."""
     got, size = [], 0
+    plain = zstandard.ZstdDecompressor().decompress if pressed else bytes
     for b in batches:
         for i in range(0, b.num_rows, 128):
             part = b.slice(i, 128)
             for d, t in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist(), strict=True):
-                got.append((NO_ID if d is None else d, t or b""))
+                got.append((d, plain(t), t))
                 size += len(got[-1][1])
                 if size >= CHUNK_CHARS:
                     yield got
@@ -195,9 +215,9 @@ def symbols_stage(batches: Iterator[pa.RecordBatch], nb: int, symbols_of: Callab
     """Stage 1, map. symbols_of(documents) gives symbols and the document index of each."""
     out = Out()
     for docs in chunks(batches):
-        ids = np.array([d for d, _ in docs], np.int64)
+        ids, texts = np.array([d for d, _, _ in docs], np.int64), [t for _, t, _ in docs]
         home = np.mod(ids, nb).astype(home_kind(nb))
-        sym, doc = symbols_of([t for _, t in docs])
+        sym, doc = symbols_of(texts)
         # Collapse: a symbol that occurs twice here is told to its buckets at once and sent once, marked.
         order = np.argsort(sym, kind="stable")
         s, h = sym[order], home[doc[order]]
@@ -210,7 +230,7 @@ def symbols_stage(batches: Iterator[pa.RecordBatch], nb: int, symbols_of: Callab
             pair = np.unique(np.stack([again, where.astype(np.uint64)], 1), axis=0)
             deal(out, FLAGS, pair[:, 1].astype(np.int64), *split48(pair[:, 0]))
         deal(out, SYMBOLS, (s[first] % np.uint64(nb)).astype(np.int64), *split48(s[first]), h[first], twice[first].astype(np.uint8))
-        a, z, at = whole_of([t for _, t in docs])
+        a, z, at = whole_of(texts)
         order, new, least = first_of(ids[at], a, z)
         a, own = a[order], ids[at][order]
         later = own != least
@@ -278,17 +298,17 @@ def candidates_stage(batches: Iterator[pa.RecordBatch], nb: int, whole_of: Calla
                 ready = (set(zip(*(x.tolist() for x in unpack_all(later, "i8", "u8")), strict=True)), np.unique(join48(*unpack_all(syms, "u4", "u2"))))
                 ids = {d for d, _ in ready[0]}
             copies = ready[0]
-            for docs in chunks(iter([rows])):
+            for docs in chunks(iter([rows]), True):
                 own = []
-                for d, t in docs:
+                for d, t, raw in docs:
                     if d in ids and (d, int(whole_of([t])[0].sum())) in copies:
                         out.add(bucket, RESULT, d, *result_of(t, None))
                     else:
-                        own.append((d, t))
-                has = candidates_of([t for _, t in own], np.array([d for d, _ in own], np.int64), ready[1], out, nb) if own else []
-                for (d, t), h in zip(own, has, strict=True):
+                        own.append((d, t, raw))
+                has = candidates_of([t for _, t, _ in own], np.array([d for d, _, _ in own], np.int64), ready[1], out, nb) if own else []
+                for (d, t, raw), h in zip(own, has, strict=True):
                     if h:
-                        out.add(bucket, TEXT, d, t)
+                        out.add(bucket, TEXT, d, raw)
                     else:
                         out.add(bucket, RESULT, d, *result_of(t, np.zeros((0, 2), np.int64)))
                 yield from out.flush(1 << 22)
@@ -323,6 +343,7 @@ def windows_stage(batches: Iterator[pa.RecordBatch], nb: int, later_of: Callable
 def results_stage(batches: Iterator[pa.RecordBatch], result_of: Callable) -> Emit:
     """Stage 4: texts meet their repeated stretches (start, length), sorted and not yet merged."""
     out = Out()
+    plain = zstandard.ZstdDecompressor().decompress
     now: int | None = None
     flags: list[bytes] = []
     ready: list[np.ndarray] | None = None
@@ -343,7 +364,7 @@ def results_stage(batches: Iterator[pa.RecordBatch], result_of: Callable) -> Emi
                 for d, t in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist(), strict=True):
                     a, z = np.searchsorted(ready[0], [d, d + 1] if d < 2**63 - 1 else [d, d]).tolist()
                     z = len(ready[0]) if d == 2**63 - 1 else z
-                    out.add(bucket, RESULT, d, *result_of(t, merge(ready[1][a:z], ready[2][a:z])))
+                    out.add(bucket, RESULT, d, *result_of(plain(t), merge(ready[1][a:z], ready[2][a:z])))
                 yield from out.flush(1 << 22)
     yield from out.flush()
 
@@ -367,10 +388,7 @@ def find_repeats(
     nb = buckets_for(docs)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     told = exchange(source.mapInArrow(lambda b: symbols_stage(b, nb, symbols_of, whole_of), SCHEMA)).mapInArrow(lambda b: repeated_stage(b, nb), SCHEMA)
-    texts = source.select(
-        F.pmod("doc_id", F.lit(nb)).cast("int").alias("bucket"), F.lit(TEXT).alias("kind"), "doc_id", "body",
-        F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("digest"),
-    )
+    texts = source.mapInArrow(lambda b: squeezed(b, nb), SCHEMA)
     sent = exchange(told.union(texts)).mapInArrow(lambda b: candidates_stage(b, nb, whole_of, candidates_of, result_of), SCHEMA)
     found = exchange(sent).mapInArrow(lambda b: windows_stage(b, nb, later_of), SCHEMA)
     done = exchange(found).mapInArrow(lambda b: results_stage(b, result_of), SCHEMA)

@@ -217,7 +217,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
         later = (own != own[first]) | (start != start[first])
         flag(out, nb, own[later], start[later].astype(np.int64), np.full(later.sum(), width))
-        deal(out, ENTRIES, (a[new] % np.uint64(nb)).astype(np.int64), a[new], z[new], own[new], start[new])
+        sent = np.nonzero(new)[0][np.lexsort((start[new], own[new]))]
+        deal(out, ENTRIES, (a[sent] % np.uint64(nb)).astype(np.int64), a[sent], z[sent], own[sent], start[sent])
         return has
 
     def later_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

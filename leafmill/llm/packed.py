@@ -130,7 +130,8 @@ def first_of(ids: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def deal_bytes(out: Out, kind: int, bucket: np.ndarray, texts: list[bytes], *arrays: np.ndarray) -> None:
-    """As deal, with a byte string per entry: the count, the arrays, the lengths, the bytes."""
+    """As deal, with a byte string per entry: the count, the arrays, the lengths, the bytes compressed."""
+    press = zstandard.ZstdCompressor(level=3).compress
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cuts = np.nonzero(b[1:] != b[:-1])[0] + 1
@@ -139,10 +140,11 @@ def deal_bytes(out: Out, kind: int, bucket: np.ndarray, texts: list[bytes], *arr
         if len(own):
             body = [texts[k] for k in own.tolist()]
             sizes = np.array([len(x) for x in body], np.uint32)
-            out.add(int(b[i]), kind, body=b"".join([np.int64(len(own)).tobytes(), pack(*[a[own] for a in arrays], sizes), *body]))
+            out.add(int(b[i]), kind, body=b"".join([np.int64(len(own)).tobytes(), pack(*[a[own] for a in arrays], sizes), press(b"".join(body))]))
 
 
 def unpack_bytes(bodies: list[bytes], *kinds: str) -> tuple[list[bytes], np.ndarray, ...]:
+    plain = zstandard.ZstdDecompressor().decompress
     texts: list[bytes] = []
     parts: list[list[np.ndarray]] = []
     for x in bodies:
@@ -150,8 +152,9 @@ def unpack_bytes(bodies: list[bytes], *kinds: str) -> tuple[list[bytes], np.ndar
         for k in (*kinds, "u4"):
             own.append(plane(x, k, n, at))
             at += n * np.dtype(k).itemsize
+        body, at = plain(x[at:]), 0
         for size in own.pop().tolist():
-            texts.append(x[at : at + size])
+            texts.append(body[at : at + size])
             at += size
         parts.append(own)
     return texts, *[np.concatenate(c) for c in zip(*parts, strict=True)]

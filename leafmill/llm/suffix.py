@@ -5,15 +5,17 @@ by its anchor, the least (hashed) GRAM-byte string in it, leftmost on ties, whic
 stretches with one anchor are sent as one snippet. Spark counts anchors over all texts first, so only
 texts around an anchor that recurs send snippets at all.
 
-A shard sorts the suffixes of its different snippets by external induced sorting (see induced) and
-cuts the sorted suffixes where their common prefix falls below WIDTH: the stretches of a class are
-equal, and all but the earliest go. Snippets that equal an earlier one, and anchors of one snippet
-only, have nothing to be sorted against.
+A shard trims the snippets of an anchor to stretches whose first and last GRAM bytes are found twice
+among them, sorts the suffixes of what is left by external induced sorting (see induced) and cuts the
+sorted suffixes where their common prefix falls below WIDTH: the stretches of a class are equal, and
+all but the earliest go. Snippets that equal an earlier one, and anchors of one snippet only, have
+nothing to be sorted against.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -117,6 +119,58 @@ def repeated_in_shard(snippets: list[bytes], order: list[int], width: int, limit
     return [out_start[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+Snippet = tuple[int, int, bytes]
+
+
+def in_groups(groups: list[list[Snippet]], most: int) -> Iterator[list[list[Snippet]]]:
+    """Whole groups together, as many as have about `most` bytes."""
+    now, size = [], 0
+    for g in groups:
+        now.append(g)
+        size += sum(len(x[2]) for x in g)
+        if size >= most:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
+def trim(groups: list[list[Snippet]], width: int, gram: int) -> list[Snippet]:
+    """The parts of snippets whose stretches begin and end with a gram that is found twice in their group."""
+    items = [x for g in groups for x in g]
+    sizes = np.array([len(x[2]) for x in items], np.int64)
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    raw = np.frombuffer(b"".join(x[2] for x in items), np.uint8)
+    n = len(raw)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * POWERS.to(n), out=sums[1:])
+    hashed = (sums[gram:] - sums[:-gram]) * INVERSES.to(n + 1 - gram)
+    of_group = np.repeat(np.arange(len(groups), dtype=np.uint64), [sum(len(x[2]) for x in g) for g in groups])
+    hashed = splitmix(hashed ^ splitmix(of_group[: len(hashed)]))
+    inside = np.arange(len(hashed)) + gram <= np.repeat(ends, sizes)[: len(hashed)]
+    order = np.argsort(hashed[inside])
+    h = hashed[inside][order]
+    twice = np.zeros(len(h), bool)
+    twice[1:] = h[1:] == h[:-1]
+    twice[:-1] |= twice[1:].copy()
+    again = np.zeros(len(hashed) + width, bool)
+    again[np.nonzero(inside)[0][order[twice]]] = True
+    last = width - gram
+    ok = again[: n + 1 - width] & again[last : n + 1 - gram] & (np.arange(n + 1 - width) + width <= np.repeat(ends, sizes)[: n + 1 - width])
+    at = np.nonzero(ok)[0]
+    if not len(at):
+        return []
+    who = np.searchsorted(ends, at, side="right")
+    cut = np.nonzero((np.diff(at) > 1) | (np.diff(who) > 0))[0] + 1
+    out = []
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+        k, offset, body = items[who[i]]
+        a, z = int(at[i] - begin[who[i]]), int(at[j - 1] - begin[who[i]]) + width
+        out.append((k, offset + a, body[a:z]))
+    return out
+
+
 def suffix_dedup(
     docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
 ) -> DataFrame:
@@ -175,36 +229,29 @@ def suffix_dedup(
             s.append(int(start[k]) + at)
             n.append(length)
 
-        seen: dict[bytes, int] = {}
-        different: dict[int, list[int]] = {}
-        for k in np.lexsort((start, own)).tolist():
-            if (f := seen.setdefault(texts[k], k)) == k:
-                different.setdefault(int(sym[k]), []).append(k)
-            elif own[k] != own[f] or start[k] != start[f]:
-                repeat(k, 0, len(texts[k]))
-        shard: list[int] = []
-        size = 0
-
-        def close() -> None:
-            found = repeated_in_shard([texts[k] for k in shard], list(range(len(shard))), width, limit)
-            for k, starts in zip(shard, found, strict=True):
+        def distinct(items: list[tuple[int, int, bytes]]) -> list[list[tuple[int, int, bytes]]]:
+            """items: snippet, offset in it, bytes, earliest first. Those that equal an earlier one are
+            repeats; the others come back by anchor, if an anchor has two at least."""
+            seen: dict[tuple[int, bytes], int] = {}
+            by_anchor: dict[int, list[tuple[int, int, bytes]]] = {}
+            for k, at, body in items:
+                f = seen.setdefault((int(sym[k]), body), k)
+                if f == k:
+                    by_anchor.setdefault(int(sym[k]), []).append((k, at, body))
+                elif (own[k], start[k]) != (own[f], start[f]):
+                    repeat(k, at, len(body))
+            return [x for x in by_anchor.values() if len(x) > 1]
+
+        first = distinct([(k, 0, texts[k]) for k in np.lexsort((start, own)).tolist()])
+        trimmed = [x for members in in_groups(first, SHARD_BYTES) for x in trim(members, width, gram)]
+        trimmed.sort(key=lambda x: (own[x[0]], start[x[0]] + x[1]))
+        for groups in in_groups(distinct(trimmed), SHARD_BYTES):
+            shard = sorted((x for g in groups for x in g), key=lambda x: (own[x[0]], start[x[0]] + x[1]))
+            found = repeated_in_shard([body for *_, body in shard], list(range(len(shard))), width, limit)
+            for (k, at, _), starts in zip(shard, found, strict=True):
                 if len(starts):
-                    cut = np.nonzero(np.diff(starts) > 1)[0] + 1
-                    for part in np.split(starts, cut):
-                        repeat(k, int(part[0]), int(part[-1] - part[0]) + width)
-
-        # Anchors are whole in a shard; ranks within it follow (id, start), as snippets are listed so.
-        for members in different.values():
-            if len(members) > 1:
-                shard += members
-                size += sum(len(texts[k]) for k in members)
-                if size >= SHARD_BYTES:
-                    shard.sort(key=lambda k: (own[k], start[k]))
-                    close()
-                    shard, size = [], 0
-        if shard:
-            shard.sort(key=lambda k: (own[k], start[k]))
-            close()
+                    for part in np.split(starts, np.nonzero(np.diff(starts) > 1)[0] + 1):
+                        repeat(k, at + int(part[0]), int(part[-1] - part[0]) + width)
         return np.array(d, np.int64), np.array(s, np.int64), np.array(n, np.int64)
 
     def result_of(text: bytes, runs: np.ndarray | None) -> tuple[bytes, int, bytes]:

@@ -40,7 +40,7 @@ ARROW = pa.schema(
 WHOLE, SYMBOLS, ENTRIES, FLAGS, TEXT, RESULT = range(6)
 #: A null id; it sorts before all others.
 NO_ID = -(2**63)
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 BUCKET_BYTES = 1 << 22
 
 

@@ -29,7 +29,7 @@ WIDTH = 20
 ROUNDS = 4
 #: Blocks don't grow beyond so many words: a window must hold some.
 MAX_BLOCK = 8
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 #: Odd, for polynomials modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C55)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))

@@ -108,6 +108,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text passes, with their columns as they are: the verdict is computed in place,
-    without a join back."""
+    without a join back.
+
+    The row number keeps the filter above the projection that computes the verdict: pushed below, it
+    would evaluate every array expression again for each use.
+    """
     ids = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
-    return quality_rules(ids, id_col="row", text_col="t").filter("kept").select("doc_id.*")
+    judged = quality_rules(ids, id_col="row", text_col="t").select("doc_id", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.filter("kept AND at >= 0").select("doc_id.*")

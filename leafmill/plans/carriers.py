@@ -97,7 +97,7 @@ SELECT 'processed/' || CAST(doc_id AS STRING) || CASE doc_id % 3 WHEN 0 THEN '.m
   CASE doc_id % 3 WHEN 0 THEN 'meta' WHEN 1 THEN 'flat' ELSE 'tree' END AS kind, CASE WHEN doc_id % 7 > 0 THEN source || '.md' END AS doc_name,
   CASE WHEN doc_id % 2 = 0 THEN source || '.txt' END AS filename, CAST(NULL AS STRING) AS source_url, CAST(n_chars AS STRING) AS processed_at,
   CASE WHEN doc_id % 3 = 1 THEN 'flat_prose' END AS content_class, doc_id % 13 > 0 AS readable FROM {documents}
-UNION ALL SELECT 'processed/' || CAST(doc_id AS STRING) || '.json', CAST(doc_id AS STRING), 'tree', 'old ' || source, CAST(NULL AS STRING), 'u', CAST(NULL AS STRING), CAST(NULL AS STRING), true
+UNION ALL SELECT 'processed/' || CAST(doc_id AS STRING) || '.v1.json', CAST(doc_id AS STRING), 'tree', 'old ' || source, CAST(NULL AS STRING), 'u', CAST(NULL AS STRING), CAST(NULL AS STRING), true
 FROM {documents} WHERE doc_id % 2 = 0 OR doc_id % 13 = 0""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")

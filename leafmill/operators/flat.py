@@ -43,7 +43,7 @@ def parse_blocks(md: str | None) -> list[dict]:
 
     lines = (md or "").splitlines()
     skip = False
-    for line, after in zip(lines, [*lines[1:], ""], strict=True):
+    for line, after in zip(lines, [*lines, ""][1:], strict=True):
         if skip:
             skip = False
             continue

@@ -119,7 +119,7 @@ def outline_levels(heads: DataFrame, pages: DataFrame, toc: DataFrame, totals: D
     anchor = F.max_by(F.struct("s_level", "i"), F.when(F.col("hit"), F.struct("s_level", -F.col("i"))))
     by_head = covers.groupBy("doc_id", "ord").agg(deepest.alias("deepest"), anchor.alias("anchor"))
     levels = heads.select("doc_id", "ord").join(by_head, ["doc_id", "ord"], "left").select(
-        "doc_id", "ord", F.coalesce(F.col("anchor")["s_level"], T.clamp_level(F.col("deepest") + 1)).alias("new_level"),
+        "doc_id", "ord", F.coalesce(F.col("anchor")["s_level"], F.when(F.col("deepest").isNotNull(), T.clamp_level(F.col("deepest") + 1))).alias("new_level"),
         F.col("anchor")["i"].alias("i"),
     )
     matched = levels.filter("i IS NOT NULL").select("doc_id", "i").distinct()

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 
-RUNNING = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+def running() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def explode_lines(docs: DataFrame, md: str = "md") -> DataFrame:
     """doc_id, pos (from 0), off (0-based character offset), line."""
     parts = F.split(F.coalesce(F.col(md), F.lit("")), "\n", -1)
     rows = docs.select("doc_id", F.posexplode(parts).alias("pos", "line"))
-    before = F.sum(F.length("line") + 1).over(RUNNING) - F.length("line") - 1
+    before = F.sum(F.length("line") + 1).over(running()) - F.length("line") - 1
     return rows.select("doc_id", "pos", before.cast("int").alias("off"), "line")
 
 
@@ -27,7 +29,7 @@ def mark_fences(lines: DataFrame) -> DataFrame:
     """Adds is_fence and in_fence, by the parity of the fences so far."""
     fence = T.strip(F.col("line")).startswith("```")
     marked = lines.withColumn("is_fence", fence)
-    return marked.withColumn("in_fence", F.sum(F.col("is_fence").cast("int")).over(RUNNING) % 2 == 1)
+    return marked.withColumn("in_fence", F.sum(F.col("is_fence").cast("int")).over(running()) % 2 == 1)
 
 
 def headings(lines: DataFrame) -> DataFrame:

@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = range(1, 6)
-EARLIER = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-ORDER = Window.partitionBy("doc_id").orderBy("ord")
 
 
 def link(heads: DataFrame) -> DataFrame:
     """heads: doc_id, ord, level, ... Adds parent_ord (null at the top) and depth (from 1)."""
-    last = {k: F.max(F.when(F.col("level") == k, F.col("ord"))).over(EARLIER) for k in LEVELS}
+    earlier = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    last = {k: F.max(F.when(F.col("level") == k, F.col("ord"))).over(earlier) for k in LEVELS}
     out = heads.select("*", *[last[k].alias(f"_l{k}") for k in LEVELS])
     parent = F.greatest(F.lit(None), *[F.when(F.col("level") > k, F.col(f"_l{k}")) for k in LEVELS])
     zero = lambda k: F.coalesce(f"_l{k}", F.lit(0))
@@ -30,7 +29,7 @@ def link(heads: DataFrame) -> DataFrame:
 
 def section_text(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """Adds text: from a heading to the next one of any depth."""
-    stop = F.lead("off").over(ORDER)
+    stop = F.lead("off").over(Window.partitionBy("doc_id").orderBy("ord"))
     joined = heads.withColumn("stop", stop).join(docs.select("doc_id", "md"), "doc_id")
     text = F.substr("md", F.col("off") + 1, F.coalesce(F.col("stop"), F.length("md")) - F.col("off"))
     return joined.withColumn("text", text).drop("md", "stop")

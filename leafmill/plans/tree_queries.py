@@ -204,7 +204,7 @@ def _(h: DataFrame) -> DataFrame:
 
 
 @query("tree_05_outline_levels", ("outline", "outline_heads"), "WITH " + SECTIONS.strip() + """
-SELECT h.doc_id, h.ord, CAST(coalesce(anchor, greatest(1, least(6, deepest + 1))) AS INT) AS new_level FROM heads h LEFT JOIN decided d ON h.doc_id = d.doc_id AND h.ord = d.ord""")
+SELECT h.doc_id, h.ord, CAST(coalesce(anchor, CASE WHEN deepest IS NOT NULL THEN greatest(1, least(6, deepest + 1)) END) AS INT) AS new_level FROM heads h LEFT JOIN decided d ON h.doc_id = d.doc_id AND h.ord = d.ord""")
 def _(o: DataFrame, h: DataFrame) -> DataFrame:
     return levels.outline_levels(*outline_parts(o, h))[0].select("doc_id", "ord", F.col("new_level").cast("int").alias("new_level"))
 

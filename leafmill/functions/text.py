@@ -145,18 +145,23 @@ def count(x: Column, pattern: str) -> Column:
 
 def ocr_languages(sample: Column) -> Column:
     """Languages to read a text sample with, by the share of scripts among its letters."""
-    text = F.coalesce(sample, F.lit(""))
-    arabic, latin = count(text, ARABIC), count(text, LATIN)
-    share, other = arabic / (arabic + latin), latin / (arabic + latin)
     pick = lambda *x: F.array(*map(F.lit, x))
-    return (
-        F.when((strip(text) == "") | (arabic + latin == 0), pick("deu", "eng"))
-        .when((share >= 0.15) & (other >= 0.10), pick("ara", "eng"))
-        .when(share >= 0.15, pick("ara"))
-        .when(share >= 0.03, pick("ara", "eng"))
-        .when(text.rlike(GERMAN), pick("deu", "eng"))
-        .otherwise(pick("eng"))
-    )
+    text = F.coalesce(sample, F.lit(""))
+
+    def by_counts(n: Column) -> Column:
+        arabic, latin = n["arabic"], n["latin"]
+        letters = F.greatest(arabic + latin, F.lit(1))
+        share, other = arabic / letters, latin / letters
+        return (
+            F.when((strip(text) == "") | (arabic + latin == 0), pick("deu", "eng"))
+            .when((share >= 0.15) & (other >= 0.10), pick("ara", "eng"))
+            .when(share >= 0.15, pick("ara"))
+            .when(share >= 0.03, pick("ara", "eng"))
+            .when(text.rlike(GERMAN), pick("deu", "eng"))
+            .otherwise(pick("eng"))
+        )
+
+    return let(F.struct(count(text, ARABIC).alias("arabic"), count(text, LATIN).alias("latin")), by_counts)
 
 
 def supported_languages(wanted: Column, available: Column, fallback: tuple[str, ...] = ("deu", "eng")) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import text as T
+
 LEVELS = range(1, 6)
 
 
@@ -27,21 +29,26 @@ def link(heads: DataFrame) -> DataFrame:
     return out.withColumn("parent_ord", parent).withColumn("depth", depth).drop(*[f"_l{k}" for k in LEVELS])
 
 
-def section_text(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Adds text: from a heading to the next one of any depth."""
-    stop = F.lead("off").over(Window.partitionBy("doc_id").orderBy("ord"))
-    joined = heads.withColumn("stop", stop).join(docs.select("doc_id", "md"), "doc_id")
-    text = F.substr("md", F.col("off") + 1, F.coalesce(F.col("stop"), F.length("md")) - F.col("off"))
-    return joined.withColumn("text", text).drop("md", "stop")
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, ord, level, title, text: from a heading to the next one of any depth, put together from
+    its own lines, so a section costs its own size and not its document's."""
+    from leafmill.operators.lines import explode_lines, mark_fences, running
+
+    own = mark_fences(explode_lines(docs)).withColumn("s", T.strip(F.col("line")))
+    head = ~F.col("is_fence") & ~F.col("in_fence") & F.col("s").rlike(T.HEADING)
+    numbered = own.withColumn("head", head).withColumn("ord", F.sum(F.col("head").cast("int")).over(running()).cast("int"))
+    first = lambda k: F.max(F.when(F.col("head"), F.regexp_extract("s", T.HEADING, k)))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    grouped = numbered.filter("ord > 0").groupBy("doc_id", "ord").agg(F.length(first(1)).alias("level"), T.strip(first(2)).alias("title"), body.alias("body"))
+    more = F.lead("ord").over(Window.partitionBy("doc_id").orderBy("ord")).isNotNull()
+    return grouped.select("doc_id", "ord", "level", "title", F.when(more, F.concat("body", F.lit("\n"))).otherwise(F.col("body")).alias("text"))
 
 
 def build_nodes(docs: DataFrame) -> DataFrame:
     """doc_id, md to nodes: doc_id, node_id (pre-order, four digits), ord, parent_ord, level, depth, title, text."""
-    from leafmill.operators.lines import explode_lines, headings
-
-    tree = section_text(docs, link(headings(explode_lines(docs))))
-    return tree.select(
-        "doc_id", F.lpad((F.col("ord") - 1).cast("string"), 4, "0").alias("node_id"), "ord", "parent_ord", "level", "depth", "title", "text"
+    number = (F.col("ord") - 1).cast("string")
+    return link(sections(docs)).select(
+        "doc_id", F.lpad(number, F.greatest(F.lit(4), F.length(number)), "0").alias("node_id"), "ord", "parent_ord", "level", "depth", "title", "text"
     )
 
 

@@ -47,8 +47,7 @@ BROKEN = "WITH " + TREE.replace("{src}", "{geo_broken}").strip()
 
 @query("tree_12_nodes", "geo_lines", GEO + " SELECT doc_id, node_id, ord, parent_ord, level, depth, title, text FROM tree")
 def _(t: DataFrame) -> DataFrame:
-    n = nodes.build_nodes(geo(t))
-    return n.withColumn("node_id", F.when(F.col("ord") > 9999, (F.col("ord") - 1).cast("string")).otherwise(F.col("node_id")))
+    return nodes.build_nodes(geo(t))
 
 
 @query("win_01_parents", "geo_lines", GEO + " SELECT doc_id, ord, parent_ord, depth FROM tree")
@@ -58,8 +57,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("win_02_section_text", "geo_lines", GEO + " SELECT doc_id, ord, sha256(text) AS digest, length(text) AS chars FROM tree")
 def _(t: DataFrame) -> DataFrame:
-    d = geo(t)
-    return nodes.section_text(d, lines.headings(lines.explode_lines(d))).select("doc_id", "ord", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"))
+    return nodes.sections(geo(t)).select("doc_id", "ord", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"))
 
 
 @query("win_11_fence_parity", "geo_lines", r"""

@@ -112,8 +112,8 @@ def outline_levels(heads: DataFrame, pages: DataFrame, toc: DataFrame, totals: D
     keyed = heads.withColumn("key", T.title_key(F.col("title"))).withColumn("k", F.row_number().over(nth))
     paged = keyed.join(pages, ["doc_id", "key", "k"], "left")
     sections = outline_extents(toc, totals)
-    s = sections.select("doc_id", "i", F.col("level").alias("s_level"), F.col("key").alias("s_key"), "raw", "start", "stop")
-    covers = paged.join(s, (paged.doc_id == s.doc_id) & (F.col("start") <= F.col("page")) & (F.col("page") < F.col("stop"))).drop(s.doc_id)
+    s = sections.select(F.col("doc_id").alias("s_doc"), "i", F.col("level").alias("s_level"), F.col("key").alias("s_key"), "raw", "start", "stop")
+    covers = paged.join(s, (F.col("doc_id") == F.col("s_doc")) & (F.col("start") <= F.col("page")) & (F.col("page") < F.col("stop"))).drop("s_doc")
     covers = covers.withColumn("hit", T.same_title(F.col("key"), F.col("s_key")))
     deepest = F.max(F.struct("s_level"))["s_level"]
     anchor = F.max_by(F.struct("s_level", "i"), F.when(F.col("hit"), F.struct("s_level", -F.col("i"))))

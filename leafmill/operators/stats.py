@@ -66,3 +66,10 @@ def first_breach(cpu: Column, memory: Column, error_pct: Column, p99: Column, li
     """The first limit reached, in fixed order; null within all."""
     c, m, e, p = limits
     return F.when(cpu >= c, "cpu").when(memory >= m, "memory").when(error_pct >= e, "error_rate").when(p99 >= p, "p99")
+
+
+def exposition(counted: DataFrame, name: str, *labels: str) -> DataFrame:
+    """Counters in the text format that scrapers read, a line per series."""
+    pairs = [F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in labels]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if labels else F.lit("")
+    return counted.select(F.concat(F.lit(name), body, F.lit(" "), F.col("value").cast("string")).alias("line"))

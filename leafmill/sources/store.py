@@ -135,3 +135,17 @@ def save(df: DataFrame, store: str, name: str, version: int) -> str:
 
 def staging_key(job_id: Column, filename: Column) -> Column:
     return F.concat(F.lit("uploads/staging/"), job_id, F.lit("/"), T.basename(filename))
+
+
+def save_tree(store: str, version: int, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A tree version: its documents and nodes. What is cached of them is out of date: returns the ids."""
+    save(docs, store, "tree_doc", version)
+    save(nodes, store, "node", version)
+    return docs.select("doc_id")
+
+
+def save_flat(store: str, version: int, docs: DataFrame) -> None:
+    """A flat version: documents with their blocks, and the sidecar; never a tree."""
+    save(docs.drop("blocks"), store, "flat_doc", version)
+    save(docs.select("doc_id", F.posexplode("blocks").alias("block_ord", "block")), store, "block", version)
+    save(sidecar(docs), store, "doc_meta", version)

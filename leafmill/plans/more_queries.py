@@ -14,7 +14,7 @@ from leafmill.plans.tree_queries import GEO, geo, legal, outline_parts, pair, ti
 
 
 @query("tree_08_heading_pages", "outline_heads", """
-SELECT doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') ORDER BY ord) AS k, page
+SELECT doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key, CAST(row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') ORDER BY ord) AS INT) AS k, page
 FROM {outline_heads} WHERE ord % 4 > 0""")
 def _(h: DataFrame) -> DataFrame:
     return outline.heading_pages(h.select("doc_id", "ord", (F.col("ord") % 4 > 0).alias("is_heading"), F.col("title").alias("text"), "page"))
@@ -79,7 +79,7 @@ def _(t: DataFrame) -> DataFrame:
     return nodes.build_nodes(geo(t)).groupBy("doc_id").agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
 
 
-@query("agg_05_min_level", "geo_lines", "SELECT doc_id, min(length(regexp_extract(line, '^(#+)', 1))) - 1 AS shift FROM {geo_lines} WHERE k1 > 0 GROUP BY 1")
+@query("agg_05_min_level", "geo_lines", "SELECT doc_id, CAST(min(length(regexp_extract(line, '^(#+)', 1))) - 1 AS INT) AS shift FROM {geo_lines} WHERE k1 > 0 GROUP BY 1")
 def _(t: DataFrame) -> DataFrame:
     return nodes.sections(geo(t.filter("k1 > 0"))).groupBy("doc_id").agg((F.min("level") - 1).alias("shift"))
 
@@ -137,7 +137,7 @@ def _(c: DataFrame) -> DataFrame:
     return listed.join(c.select(F.col("conv_id").alias("doc_id")).distinct(), "doc_id")
 
 
-@query("ret_11_sections", "turn_nodes", "SELECT doc_id, count(*) FILTER (parent_ord IS NULL) AS sections FROM {turn_nodes} GROUP BY 1")
+@query("ret_11_sections", "turn_nodes", "SELECT doc_id, CAST(count(*) FILTER (parent_ord IS NULL) AS INT) AS sections FROM {turn_nodes} GROUP BY 1")
 def _(t: DataFrame) -> DataFrame:
     return retrieve.get_document(t).select("doc_id", F.size("top_level_sections").alias("sections"))
 

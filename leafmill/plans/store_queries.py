@@ -214,7 +214,7 @@ def _(o: DataFrame) -> DataFrame:
     return o.select("doc_id", "i", F.when(F.col("level") == 1, nxt[1]).otherwise(nxt[2]).alias("next_page"))
 
 
-@query("win_04_consumption", "outline_heads", "SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, title ORDER BY ord) AS k FROM {outline_heads}")
+@query("win_04_consumption", "outline_heads", "SELECT doc_id, ord, CAST(row_number() OVER (PARTITION BY doc_id, title ORDER BY ord) AS INT) AS k FROM {outline_heads}")
 def _(h: DataFrame) -> DataFrame:
     return h.select("doc_id", "ord", F.row_number().over(Window.partitionBy("doc_id", "title").orderBy("ord")).alias("k"))
 
@@ -408,7 +408,7 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("ret_04_structure", "geo_lines", GEO + """
-SELECT doc_id, sum(length('{"title":"","node_id":"","nodes":[]}') + length(title) + length(node_id)) + count(*) + 1 AS chars FROM tree GROUP BY 1""".replace("+ count(*) + 1", "+ count(*) - count(DISTINCT coalesce(parent_ord, 0)) + 2"))
+SELECT doc_id, CAST(sum(length('{"title":"","node_id":"","nodes":[]}') + length(title) + length(node_id)) + count(*) + 1 AS BIGINT) AS chars FROM tree GROUP BY 1""".replace("+ count(*) + 1", "+ count(*) - count(DISTINCT coalesce(parent_ord, 0)) + 2"))
 def _(t: DataFrame) -> DataFrame:
     n = nodes.build_nodes(geo(t))
     return nodes.nested_json(n, 3).select("doc_id", F.length("structure").cast("long").alias("chars"))

@@ -29,7 +29,7 @@ def tables(rows: DataFrame) -> DataFrame:
 TREE = """
 heads AS (
   SELECT doc_id, k1, k2, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2) AS INT) AS ord,
-    length(regexp_extract(line, '^(#+)', 1)) AS level, regexp_extract(line, '^#+ ([^\n]+)', 1) AS title, length(line) + 1 AS size
+    CAST(length(regexp_extract(line, '^(#+)', 1)) AS INT) AS level, regexp_extract(line, '^#+ ([^\n]+)', 1) AS title, length(line) + 1 AS size
   FROM {src}
 ), lasts AS (
   SELECT *, max(CASE WHEN level = 1 THEN ord END) OVER w AS l1, max(CASE WHEN level = 2 THEN ord END) OVER w AS l2,
@@ -55,7 +55,7 @@ def _(t: DataFrame) -> DataFrame:
     return nodes.link(lines.headings(lines.explode_lines(geo(t)))).select("doc_id", "ord", "parent_ord", "depth")
 
 
-@query("win_02_section_text", "geo_lines", GEO + " SELECT doc_id, ord, sha256(text) AS digest, length(text) AS chars FROM tree")
+@query("win_02_section_text", "geo_lines", GEO + " SELECT doc_id, ord, sha256(text) AS digest, CAST(length(text) AS INT) AS chars FROM tree")
 def _(t: DataFrame) -> DataFrame:
     return nodes.sections(geo(t)).select("doc_id", "ord", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"))
 
@@ -90,7 +90,7 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("agg_04_heading_levels", "geo_lines", """
-SELECT doc_id, max(length(regexp_extract(line, '^(#+)', 1))) AS max_level, min(length(regexp_extract(line, '^(#+)', 1))) AS min_level, count(*) AS n_headings,
+SELECT doc_id, CAST(max(length(regexp_extract(line, '^(#+)', 1))) AS INT) AS max_level, CAST(min(length(regexp_extract(line, '^(#+)', 1))) AS INT) AS min_level, count(*) AS n_headings,
   max(length(regexp_extract(line, '^(#+)', 1))) >= 2 AND count(*) >= 3 AS recoverable FROM {geo_lines} GROUP BY 1""")
 def _(t: DataFrame) -> DataFrame:
     d = geo(t)

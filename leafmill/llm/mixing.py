@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, word_count
+from .common import cut, text_or_empty, word_count
 
 #: Characters that speak against a document.
 NOISE = r"[0-9#*$%&|<>{}]"
@@ -73,12 +73,13 @@ def mix(
     Rows equal in id and size share a key; ties are broken by id, then size. Null ids share one key.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(
+    # Texts are read once: what follows works on ids, sizes and keys.
+    rows = cut(docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text).alias("size"),
         (-F.log(uniform(F.col(id_col), seed)) / (quality_weight(text) if weight is None else weight)).alias("key"),
-    )
+    ))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes.select("source", "source_size"), share, most)
     plan = targets.join(sizes.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).select(

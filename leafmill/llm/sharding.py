@@ -16,7 +16,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, text_or_empty
+from .common import cut, parts, text_or_empty
 
 
 def draw_hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -96,7 +96,7 @@ def shard_rows(
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     mixed = lambda k: F.xxhash64(F.lit(seed + k), "doc_id", "size", "text_crc32")
-    rows = rows.withColumn("p", F.pmod(mixed(0), F.lit(n)).cast("int"))
+    rows = cut(rows.withColumn("p", F.pmod(mixed(0), F.lit(n)).cast("int")))  # texts are read once
     found = {r["p"]: r["count"] for r in rows.groupBy("p").count().collect()}
     matrix = draw_matrix([found.get(p, 0) for p in range(n)], shards, seed)
     ends = [{"q": p, "ends": [sum(row[: s + 1]) for s in range(shards)]} for p, row in enumerate(matrix)]

@@ -26,9 +26,12 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules for a line with words; false for one without."""
-    n = F.regexp_count(line, F.lit(WORD))
+def _count(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(WORD))
+
+
+def line_fails(line: Column, n: Column) -> Column:
+    """Punctuation, navigation and boilerplate rules for a line of n words; false for one without."""
     over = lambda pattern, share: F.regexp_count(line, F.lit(pattern)) > n * F.lit(share)
     return (n > 0) & (
         over(SYMBOL, MAX_SYMBOL_SHARE)
@@ -40,7 +43,7 @@ def line_fails(line: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """The text without the lines that fail."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~_let(_count(x), lambda n: line_fails(x, n))), "\n")
 
 
 def repeated_words(words: Column) -> Column:
@@ -85,9 +88,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     one = one.withColumn("w", _words(F.col("t"))).withColumn("lines", F.split("t", "\n", -1))
     full = F.filter("lines", lambda x: x.rlike(WORD))
-    lost = F.aggregate(
-        F.transform("lines", lambda x: F.when(line_fails(x), F.regexp_count(x, F.lit(WORD))).otherwise(F.lit(0))), F.lit(0), lambda a, x: a + x
-    )
+    lost_of = lambda x: _let(_count(x), lambda n: F.when(line_fails(x, n), n).otherwise(F.lit(0)))
+    lost = F.aggregate(F.transform("lines", lost_of), F.lit(0), lambda a, x: a + x)
     base = one.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_limit, join_groups, text_or_empty
+from .common import cut, hot_limit, join_groups, text_or_empty
 
 
 def content_hash(text: Column) -> Column:
@@ -43,7 +43,7 @@ def exact_dedup(
     def grouped(x: DataFrame) -> DataFrame:
         return x.groupBy("h").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
 
-    slim = rows.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("digest"))
+    slim = cut(rows.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("digest")))
     groups = grouped(slim).filter("group_size > 1")
     hot = groups.filter(F.col("group_size") > limit).select("h")
     cold = groups.filter(F.col("group_size") <= limit).select("h")

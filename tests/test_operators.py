@@ -270,3 +270,40 @@ def test_keyed_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([(1, "a", "t"), (2, "b", "u")], "doc_id int, title string, text string").write.parquet(str(tmp_path / "n"))
     plan = spark.read.parquet(str(tmp_path / "n")).filter("doc_id = 1").select("title")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,1)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_trees_need_one_exchange(spark):
+    plan = nodes.build_nodes(md(spark, "# a\n## b"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange") == 1
+
+
+def test_percentiles_are_nearest_rank(spark):
+    from leafmill.operators.stats import nearest_rank
+
+    values = [5, 1, 1, 9, 7, 7, 7, 2, None]
+    own = sorted(v for v in values if v is not None)
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3)], "tool string, v int")
+    got = {r.tool: (r.p50, r.p95, r.p99) for r in nearest_rank(df, "v", (50, 95, 99), "tool").collect()}
+    assert got == {"a": tuple(own[min(len(own) * p // 100, len(own) - 1)] for p in (50, 95, 99)), "b": (3, 3, 3)}
+
+
+def test_models_never_fail_a_row(spark):
+    from leafmill.functions import models
+
+    def broken(p):
+        raise ValueError(p)
+
+    df = spark.createDataFrame([("one. two",), (None,)], "p string")
+    assert [r[0] for r in df.select(models.complete(F.col("p"))).collect()] == ["one", None]
+    assert [r[0] for r in df.select(models.caption(F.col("p"), broken)).collect()] == ["image", None]
+
+
+def test_outline_match_prefers_equal_then_short(spark):
+    from leafmill.operators.outline import heading_pages, match_outline
+
+    toc = spark.createDataFrame([(0, 1, 1, "Kapitel", 1), (0, 2, 2, "Der Umfang", 1), (0, 3, 2, "Los", 1)], "doc_id int, i int, level int, title string, page int")
+    items = spark.createDataFrame([(0, 1, "1 Kapitel", 1), (0, 2, "Kapitel", 1), (0, 3, "Umfang", 1), (0, 4, "Endlos", 1)], "doc_id int, ord int, text string, page int")
+    got = {r.i: (r.ord, r.parent) for r in match_outline(toc, items).collect()}
+    assert got == {1: (2, None), 2: (3, 1), 3: (None, 1)}
+    pages = heading_pages(items.withColumn("is_heading", F.lit(True)).union(items.withColumn("is_heading", F.lit(True)).withColumn("ord", F.col("ord") + 10)).select("doc_id", "ord", "is_heading", "text", "page"))
+    assert pages.filter("key = 'kapitel'").count() == 2

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: ASCII marks that only surround or split words.
 MARKS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"})
 
@@ -114,12 +116,14 @@ def fit(
     prior: float = 200.0, min_count: int = 3, deviations: float = 2.0, min_weight: float = 0.5,
 ) -> Model:
     """docs: doc_id, t. labels: doc_id, toxic (only rows to learn from). Repeated labels of an id count
-    as toxic if any is. Of equal texts one counts, and a token counts once in a text. Three quarters of
+    as toxic if any is. Equal texts are one, toxic if any is, and a token counts once in a text. Three quarters of
     the sample give the counts, the rest the calibration."""
     of = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["t"]).select("t", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3).alias("check"))
-    # At most max_train rows; twice read: toxic counts choose the words, then both classes are counted.
+    # Bounded by max_train, so it is kept: all passes over it read the texts of the table once.
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("t").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    sample = cut(texts.select("t", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3).alias("check")))
+    # Toxic counts choose the words, then both classes are counted.
     def count(words: set[str] | None, which: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}

@@ -69,3 +69,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 
 def parts(total: int, each: int, most: int = 65_536) -> int:
     return max(1, min(most, math.ceil(total / each)))
+
+
+def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id (a null one too) is among those of kept."""
+    ids = kept.select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -108,3 +108,18 @@ def test_stages_keep_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    prose = lambda k: " ".join(f"word{k}x{i}" for i in range(60)) + "."
+    rows = [(1, prose(1), "a"), (2, prose(1), "a"), (3, prose(3), None), (3, prose(3), None), (None, prose(4), "b"), (None, prose(5), "b"), (6, None, "a"), (7, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang", "1 AS n_chars")
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf_dir)
+        none = stage(spark, none, sf_dir)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "3", "3", "None", "None"]
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, sf_dir)
+    assert {str(r.doc_id) for r in mixed.collect()} <= {"1", "3", "None"} and mixed.count() <= 10
+    assert corpus_pipeline.STAGES[4][1](spark, mixed, sf_dir).count() == mixed.count()
+    assert none.count() == 0

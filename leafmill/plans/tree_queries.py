@@ -79,7 +79,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("flt_02_without_text", "geo_lines", GEO + " SELECT doc_id, node_id, ord, parent_ord, level, depth, title FROM tree WHERE ord < 10000")
 def _(t: DataFrame) -> DataFrame:
-    return nodes.without_text(nodes.build_nodes(geo(t))).filter("ord < 10000")
+    return nodes.without_text(nodes.build_nodes(geo(t)))
 
 
 @query("tree_01_relevel", "geo_lines", r"""

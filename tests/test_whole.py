@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from leafmill.plans.queries import QUERIES
+from test_oracle import duck, rows  # noqa: F401
+
+from leafmill.plans.queries import ORACLES, QUERIES
+
+
+def equals(spark, sf_dir, duck, name, cut, whole):  # noqa: F811
+    got, want = QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name].replace(cut, whole))
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
 def inner(name):
@@ -15,3 +22,16 @@ def test_without_text_keeps_all_nodes(spark):
     n = 10_050
     lines = spark.range(n).selectExpr("0L AS doc_id", "cast(id AS int) AS k1", "0 AS k2", "concat(if(id = 0, '# ', '## '), 'N', id) AS line")
     assert inner("flt_02_without_text")(lines).count() == n
+
+
+def test_reassembled_whole_texts(spark, sf_dir, duck):  # noqa: F811
+    equals(spark, sf_dir, duck, "tree_17_reassembled", "left(text, 300)", "text")
+
+
+def test_split_covers_whole_texts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from leafmill.plans.tree_queries import legal
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert legal(d).agg(F.sum(F.length("text"))).first()[0] > d.agg(F.sum(F.length("text"))).first()[0]

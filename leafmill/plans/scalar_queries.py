@@ -182,8 +182,8 @@ def _(t: DataFrame) -> DataFrame:
 SELECT doc_id, length(x) > 0 AND len(regexp_extract_all(x, '[.․…]{4,}')) >= length(x) / 1000.0 AND o < 0.1 * (length(x) / 1000.0) AND regexp_matches(x, '[A-Za-z]{20,}') AS frontmatter
 FROM (SELECT doc_id, left(text, 300) || CASE WHEN doc_id % 2 = 0 THEN ' ....... 12 Bibliographicalreferences' ELSE '' END AS x, len(regexp_extract_all(left(text, 300), '§')) AS o FROM {documents})""")
 def _(t: DataFrame) -> DataFrame:
-    x = F.concat(F.substring("text", 1, 300), F.when(F.col("doc_id") % 2 == 0, " ....... 12 Bibliographicalreferences").otherwise(""))
-    return t.select("doc_id", T.frontmatter(x, T.count(F.substring("text", 1, 300), "§")).alias("frontmatter"))
+    x = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " ....... 12 Bibliographicalreferences").otherwise(""))
+    return t.select("doc_id", T.frontmatter(x, T.count(F.col("text"), "§")).alias("frontmatter"))
 
 
 @query("flt_12_headroom", "events", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN true ELSE value >= 50 END AS go FROM {events}")

@@ -35,3 +35,7 @@ def test_split_covers_whole_texts(spark, sf_dir):
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert legal(d).agg(F.sum(F.length("text"))).first()[0] > d.agg(F.sum(F.length("text"))).first()[0]
+
+
+def test_frontmatter_of_whole_texts(spark, sf_dir, duck):  # noqa: F811
+    equals(spark, sf_dir, duck, "flt_09_frontmatter", "left(text, 300)", "text")

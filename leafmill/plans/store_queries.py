@@ -440,8 +440,11 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("ret_02_find_relevant", ("conversations", "turn_nodes", "documents"))
 def _(c: DataFrame, t: DataFrame, d: DataFrame) -> DataFrame:
-    docs = c.filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("doc_name"), F.col("text").alias("summary"))
-    flats = d.filter("doc_id < 0").select("doc_id", F.col("text").alias("content"))
+    # Conversations have even ids, flat documents odd ones, so neither comes first by its id alone.
+    talks = c.filter("turn = 0").select((F.col("conv_id") * 2).alias("doc_id"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("doc_name"), F.col("text").alias("summary"))
+    files = d.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"), F.col("text").alias("summary"))
+    docs, t = talks.unionByName(files), t.withColumn("doc_id", F.col("doc_id") * 2)
+    flats = files.select("doc_id", F.col("summary").alias("content"))
     return retrieve.search(docs, t, flats, "the that of")
 
 

@@ -19,7 +19,7 @@ NOW = 1_000_000
 
 # -- sources and sinks ---------------------------------------------------------------------------------
 def artifacts(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    body = F.substring("text", 1, 20).alias("body")
+    body = F.col("text").alias("body")
     trees = d.filter("doc_id % 3 = 0").select("doc_id", body)
     flats = d.filter("doc_id % 2 = 0").select("doc_id", body)
     cache = d.filter("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("cached "), F.col("lang")).alias("body"), F.col("doc_id").alias("cached_at"))

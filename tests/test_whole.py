@@ -49,3 +49,8 @@ def test_search_reads_flat_documents(spark):
     got = [tuple(r) for r in inner("ret_02_find_relevant")(c, t, d).orderBy("pos").collect()]
     # By the words found, then by id: conv0 (3), doc2 (3), doc0 (2), conv2 (1, no nodes).
     assert got == [(0, "conv0", 1, "the that\n\nof"), (5, "doc2", 2, "of that the " + long), (1, "doc0", 3, long)]
+
+
+def test_stored_bodies_are_whole(spark, sf_dir, duck):  # noqa: F811
+    for name in ("src_04_load_document", "src_06_read_through"):
+        equals(spark, sf_dir, duck, name, "left(text, 20)", "text")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +28,54 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; one of our own only where none is set (tests)."""
+    """The checkpoint folder all executors share; one of our own only on a local master where none is
+    set (tests). A cluster without one is refused: its executors share no folder we could pick."""
     sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
     if (at := sc.getConf().get("spark.checkpoint.dir", None)) is None:
-        have = sc._jsc.sc().getCheckpointDir()
         if have.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))
-            have = sc._jsc.sc().getCheckpointDir()
-        return have.get()
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if have.isEmpty():
         sc.setCheckpointDir(at)
     return at
 
 
+#: Files of the checkpoints made inside `cuts_released`, where one is open.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and drop its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if (made := _MADE.get()) is not None:
+        at = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        made += [at.get()] if at.isDefined() else []
+    return out
+
+
+def remove_folder(spark: SparkSession, at: str) -> None:
+    """Remove a folder by the file system of its path, which need not be a local one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cuts_released(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside go at the end, when their result has been written elsewhere."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get() or []
+        _MADE.reset(token)
+        for at in made:
+            remove_folder(spark, at)
 
 
 def hot_limit(total: int) -> int:
@@ -71,6 +104,42 @@ def parts(total: int, each: int, most: int = 65_536) -> int:
     return max(1, min(most, math.ceil(total / each)))
 
 
+#: Row keys that may be broadcast: 16 bytes each.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs as one struct, `_doc`, and a key that names each row, equal ones too: its file and its place
+    there, which are the same however often and wherever a task runs again. What doesn't come from
+    files is numbered once, in a checkpoint."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        try:
+            key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.select(doc, key.alias(name))
+        except AnalysisException:  # not a table of files
+            pass
+    key = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return cut(docs.select(doc, key.alias(name)))
+
+
+def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows (_doc, _row) as documents again, without those whose key is in dropped. Few keys are
+    broadcast, so that the documents stay where they are; many are joined by a shuffle."""
+    gone = cut(dropped.select(F.col("_row").alias("_gone")))
+    few = gone.count() <= MAX_BROADCAST_KEYS
+    return rows.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
+
+
+def first_row(id_col: str, row_col: str, smallest: bool = True) -> Column:
+    """Aggregate: the row (id, row) with the least (or largest) id, then key; null ids come last."""
+    known = F.col(id_col).isNull() if smallest else F.col(id_col).isNotNull()
+    return (F.min if smallest else F.max)(F.struct(known.alias("known"), F.col(id_col).alias("id"), F.col(row_col).alias("row")))
+
+
 def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id (a null one too) is among those of kept."""
     ids = kept.select(F.col(id_col).alias("_kept")).distinct()

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .common import cut, join_groups
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: a > b. Large: every larger neighbour of a node is tied to the least of its neighbourhood;
-    small: every smaller neighbour and the node itself are."""
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """edges: a > b, at most `most` of them, counted once both ways. Large: every larger neighbour of a node
+    is tied to the least of its neighbourhood; small: every smaller neighbour and the node itself are."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    joined = join_groups(both, least, "u", "n", both.count(), F.concat_ws("-", "u", "v"))
+    joined = join_groups(both, least, "u", "n", most, F.concat_ws("-", "u", "v"))
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -39,7 +39,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     last = mark(now)
     for _ in range(rounds):
-        now = cut(_star(cut(_star(now, large=True)), large=False))
+        # A large star has as many edges as before at most: its rows, both ways, bound those of both steps.
+        most = 2 * last[0]
+        now = cut(_star(cut(_star(now, True, most)), False, most))
         if (state := mark(now)) == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -1,9 +1,10 @@
 """Exact duplicates: group by a 128-bit content hash, keep one stable id, compare bytes in groups.
 
-Only (id, hash, digest) rows are shuffled to form groups. Texts move once, and only to prove that the
-members of a group are equal byte for byte: the smallest and the largest text of a group are the
-same exactly if all are. Hot groups prove it with map-side aggregation, so their copies never meet
-in one task. A hash that stands for different texts is regrouped by the texts themselves.
+Only (id, hash, digest) rows are shuffled to form groups. A text moves only if its hash may stand for
+several rows: the hashes of such groups set the bits of a bitmap, and rows whose bit is not set stay
+where they are. Of what moves, the smallest and the largest text of a group are the same exactly if
+all are; both are found with map-side aggregation, so the copies of a hot group never meet in one
+task. A hash that stands for different texts is regrouped by the texts themselves.
 """
 
 from __future__ import annotations
@@ -13,64 +14,76 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_limit, join_groups, text_or_empty
+from .common import cut, first_row, join_groups, text_or_empty
+
+#: Bits of the bitmap: at least 16 a group, and at most 2**29 (64 MiB in all, the bound of its broadcast).
+#: A full bitmap lets more texts move than need to, never fewer.
+BITS_A_GROUP, LEAST_BITS, MOST_BITS = 16, 15, 29
 
 
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def in_bitmap(rows: DataFrame, keys: DataFrame, column: str, n: int) -> DataFrame:
+    """The rows whose `column` is among the n values of keys, and a few more."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_A_GROUP * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    bitmap = keys.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_part"))
+    bitmap = bitmap.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    placed = rows.withColumn("_at", place).join(F.broadcast(bitmap), F.bitmap_bucket_number("_at") == F.col("_part"))
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.filter(F.call_function("getbit", byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(rows.columns)
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "smallest",
     hash_fn: Callable[[Column], Column] = content_hash,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 [, row].
 
     keep: 'smallest' or 'largest' id of a group stays. A null text is an empty text. A document is
     known by its id: repeated rows of one id and text count in group_size and share a verdict. Rows
-    with a null id never stay while their group has an id; a group of null ids only keeps them.
-    An empty table gives an empty result. Further columns are ignored.
+    with a null id never stay while their group has an id; a group of null ids only keeps them. With
+    row_col, a key of each row, exactly one row of a group stays: of those with the id that stays,
+    the one with the least (largest) key. An empty table gives an empty result. Further columns are ignored.
     """
-    pick = {"smallest": F.min, "largest": F.max}[keep]
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    key = F.lit(0).alias("row") if row_col is None else F.col(row_col).alias("row")
+    rows = docs.select(F.col(id_col).alias("doc_id"), key, text_or_empty(text_col).alias("t"))
     rows = rows.withColumn("h", hash_fn(F.col("t")))
-    total = docs.count()
-    limit = hot_limit(total)
 
     def grouped(x: DataFrame) -> DataFrame:
-        return x.groupBy("h").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
+        return cut(x.groupBy("h").agg(F.count("*").alias("group_size"), first_row("doc_id", "row", keep == "smallest").alias("stays")).filter("group_size > 1"))
 
-    slim = cut(rows.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("digest")))
-    groups = grouped(slim).filter("group_size > 1")
-    hot = groups.filter(F.col("group_size") > limit).select("h")
-    cold = groups.filter(F.col("group_size") <= limit).select("h")
-
-    def unequal(x: DataFrame) -> DataFrame:
-        return x.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("z")).filter("a <> z").select("h")
-
-    bodies = rows.select("h", "t")
-    collided = unequal(bodies.join(F.broadcast(hot), "h", "left_semi")).union(
-        unequal(bodies.join(F.broadcast(hot), "h", "left_anti").join(cold, "h", "left_semi"))
-    )
+    slim = cut(rows.select("doc_id", "row", "h", F.unhex(F.sha2("t", 256)).alias("digest")))
+    total = slim.count()
+    groups = grouped(slim)
+    bodies = in_bitmap(rows.select("h", "t"), groups.select("h"), "h", groups.count())
+    collided = bodies.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("z")).filter("a <> z").select("h")
     if not collided.isEmpty():
         # Different texts under one hash: there the text itself completes the key.
         slim = rows.join(collided.withColumn("c", F.lit(True)), "h", "left").select(
             "doc_id",
+            "row",
             F.when(F.col("c"), F.concat(F.lit(b"\x01"), F.encode("t", "UTF-8"))).otherwise(F.concat(F.lit(b"\x00"), "h")).alias("h"),
             F.unhex(F.sha2("t", 256)).alias("digest"),
         )
-        groups = grouped(slim).filter("group_size > 1")
+        groups = grouped(slim)
 
-    joined = join_groups(slim, groups, "h", "group_size", total, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    size = F.coalesce("group_size", F.lit(1))
-    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    joined = join_groups(slim, groups, "h", "group_size", total, F.concat_ws("~", F.col("doc_id").cast("string"), F.col("row").cast("string")))
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("stays.id"))
+    own = F.lit(True) if row_col is None else alone | (F.col("row") == F.col("stays.row"))
     return joined.select(
         "doc_id",
         keep_id.alias("keep_id"),
-        size.cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("doc_id").eqNullSafe(keep_id) & own).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *([] if row_col is None else [F.col("row").alias(row_col)]),
     )

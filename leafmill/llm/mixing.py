@@ -66,16 +66,20 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     weight: Column | None = None,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted).
+    """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted) [, row].
 
     A null source is a source, last in order. A null text has size 0. Empty documents take nothing.
-    Rows equal in id and size share a key; ties are broken by id, then size. Null ids share one key.
+    Rows equal in id and size share a key; ties are broken by id, then size, then row_col, a key of each
+    row. Null ids share one random number. An empty table gives an empty result; further columns are ignored.
     """
     text = text_or_empty(text_col)
+    row = (F.lit(0) if row_col is None else F.col(row_col)).alias("row")
     # Texts are read once: what follows works on ids, sizes and keys.
     rows = cut(docs.select(
         F.col(id_col).alias("doc_id"),
+        row,
         F.col(source_col).alias("source"),
         word_count(text).alias("size"),
         (-F.log(uniform(F.col(id_col), seed)) / (quality_weight(text) if weight is None else weight)).alias("key"),
@@ -97,11 +101,12 @@ def mix(
     offsets = sums.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset")
     )
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     begun = placed.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
     begun = begun.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left")
     start = F.col("own") + F.col("offset")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - epochs * F.col("source_size")
     extra = F.when(start * 2 + F.col("size") <= left * 2, F.col("size")).otherwise(F.lit(0))
-    return begun.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"))
+    taken = (epochs * F.col("size") + extra).cast("long").alias("taken")
+    return begun.select("doc_id", "size", "source_size", "target", taken, *([] if row_col is None else [F.col("row").alias(row_col)]))

@@ -14,9 +14,16 @@ SYMBOL = r"[#*$%&|<>]"
 #: Line rules, as shares of the line's words.
 MAX_SYMBOL_SHARE = 0.3
 MAX_SHOUT_SHARE = 0.3
+#: A line without any letter or digit is punctuation only.
+SAYS = r"[\p{L}\p{N}]"
 MAX_NAVIGATION_SHARE = 0.2
 #: Phrases of page furniture; a line of at most so many words that has one goes.
-BOILERPLATE = r"(?i)(accept cookies|all rights reserved|privacy policy|terms of (use|service)|sign up|log ?in|subscribe|click here|enable javascript|back to top|skip to content)"
+BOILERPLATE = (
+    r"(?iu)(accept cookies|all rights reserved|privacy policy|terms of (use|service)|sign up|log ?in|subscribe|click here|enable javascript|back to top|skip to content"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|jetzt anmelden|hier klicken|nach oben|zum inhalt springen"
+    r"|tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|cliquez ici|haut de page|aller au contenu"
+    r"|todos los derechos reservados|política de privacidad|términos de uso|aceptar cookies|haga clic aquí|volver arriba|saltar al contenido)"
+)
 BOILERPLATE_WORDS = 30
 #: A document stays if so much of its words stays.
 MIN_KEPT_SHARE = 0.7
@@ -36,6 +43,7 @@ def line_fails(line: Column, n: Column) -> Column:
     return (n > 0) & (
         over(SYMBOL, MAX_SYMBOL_SHARE)
         | over(r"[!?]{2,}", MAX_SHOUT_SHARE)
+        | ~line.rlike(SAYS)
         | over(r"(?<![^\x20\x09-\x0D])[|>»·•/]+(?![^\x20\x09-\x0D])", MAX_NAVIGATION_SHARE)
         | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
     )
@@ -108,13 +116,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows whose text passes, with their columns as they are: the verdict is computed in place,
-    without a join back.
+def keep_clean(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows whose text passes, without the lines that fail; a text without such lines stays as it
+    is. length_col, if there is one, becomes the text's length in code points where lines went. The
+    verdict is computed in place, without a join back, so each row is judged by itself.
 
-    The row number keeps the filter above the projection that computes the verdict: pushed below, it
-    would evaluate every array expression again for each use.
+    Null and empty texts fail, and an empty table gives an empty result. The row number keeps the
+    filter above the projection that computes the verdict: pushed below, it would evaluate every
+    array expression again for each use.
     """
-    ids = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
-    judged = quality_rules(ids, id_col="row", text_col="t").select("doc_id", "kept", F.monotonically_increasing_id().alias("at"))
-    return judged.filter("kept AND at >= 0").select("doc_id.*")
+    ids = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("t"))
+    judged = quality_rules(ids, id_col="_doc", text_col="t", with_text=True)
+    judged = judged.select(F.col("doc_id").alias("_doc"), "kept", "clean_text", (F.col("kept_words") < F.col("n_words")).alias("less"), F.monotonically_increasing_id().alias("at"))
+
+    def column(c: str) -> Column:
+        own = F.col(f"_doc.`{c}`")
+        if c == text_col:
+            return F.col("clean_text").alias(c)
+        if c == length_col:
+            return F.when(F.col("less"), F.length("clean_text").cast(docs.schema[c].dataType)).otherwise(own).alias(c)
+        return own.alias(c)
+
+    return judged.filter("kept AND at >= 0").select([column(c) for c in docs.columns])

@@ -129,11 +129,12 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), lines AS (
   SELECT doc_id, line, len(lw) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[!?]{2,}')) AS shouts,
          len(list_filter(lw, lambda x: regexp_full_match(x, '[|>»·•/]+'))) AS bars,
-         regexp_matches(line, '(?i)(accept cookies|all rights reserved|privacy policy|terms of (use|service)|sign up|log ?in|subscribe|click here|enable javascript|back to top|skip to content)') AS furniture
+         NOT regexp_matches(line, '[\p{L}\p{N}]') AS mute,
+         regexp_matches(line, '(?i)(accept cookies|all rights reserved|privacy policy|terms of (use|service)|sign up|log ?in|subscribe|click here|enable javascript|back to top|skip to content|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|jetzt anmelden|hier klicken|nach oben|zum inhalt springen|tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|cliquez ici|haut de page|aller au contenu|todos los derechos reservados|política de privacidad|términos de uso|aceptar cookies|haga clic aquí|volver arriba|saltar al contenido)') AS furniture
   FROM (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM docs, unnest(string_split(t, chr(10))) AS s(line))
 ), judged AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
-         sum(CASE WHEN symbols > n * 0.3 OR shouts > n * 0.3 OR bars > n * 0.2 OR (n <= 30 AND furniture) THEN n ELSE 0 END) AS lost
+         sum(CASE WHEN symbols > n * 0.3 OR shouts > n * 0.3 OR mute OR bars > n * 0.2 OR (n <= 30 AND furniture) THEN n ELSE 0 END) AS lost
   FROM lines WHERE n > 0 GROUP BY 1
 ), base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -138,9 +138,3 @@ def first_row(id_col: str, row_col: str, smallest: bool = True) -> Column:
     """Aggregate: the row (id, row) with the least (or largest) id, then key; null ids come last."""
     known = F.col(id_col).isNull() if smallest else F.col(id_col).isNotNull()
     return (F.min if smallest else F.max)(F.struct(known.alias("known"), F.col(id_col).alias("id"), F.col(row_col).alias("row")))
-
-
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id (a null one too) is among those of kept."""
-    ids = kept.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Model: log-odds of tokens between toxic and other texts under Dirichlet priors proportional to the
-background. Tokens without enough weight share the log-odds of all such tokens together, so the score
-drifts down over ordinary words and a passage must outweigh it.
+Model: log-odds of tokens between toxic and other texts, under Dirichlet priors proportional to the
+background, in both directions: a token of toxic texts counts for a passage, one of harmless texts
+against it, each by what is certain of its log-odds (beyond two standard deviations). Tokens whose
+log-odds may be chance share those of all such tokens together, so the score drifts down over
+ordinary words and a passage must outweigh it.
 
 Scan: one pass over a text's log-odds finds all maximal scoring segments, each disjoint and not
 improvable. For texts of n tokens without toxicity, the best segment follows an extreme-value law
@@ -10,8 +12,9 @@ whose location grows with ln n; a segment's expected number of chance equals is
 strength. The best segment's strength and the sum over all significant segments are turned into a
 probability by a logistic fit.
 
-Fitting sees at most `max_train` labelled rows, the first by a hash of the id, so that everything
-gathered on the driver is bounded; scoring reads every text whole.
+Fitting sees at most `max_train` labelled rows, the first by a hash of the id. All tokens of these
+rows are counted, without a cap; the driver gets those whose log-odds are certain, and three numbers
+a calibration text. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -88,8 +91,8 @@ def strengths(words: list[str], weights: dict[str, float], drift: float, mu: flo
 
 
 def _features(found: list[tuple[int, int, float]]) -> tuple[float, float]:
-    best = max((s for *_, s in found), default=-5.0)
-    return max(-5.0, min(best, 30.0)), min(sum(s for *_, s in found if s > 0), 60.0)
+    """The best strength and the sum of the significant ones, on a scale that flattens without an end."""
+    return math.asinh(max((s for *_, s in found), default=-5.0)), math.asinh(sum(s for *_, s in found if s > 0))
 
 
 def score(words: list[str], m: Model) -> tuple[float, list[tuple[int, int, float]]]:
@@ -111,73 +114,66 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(map(float, w))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, max_train: int = 50_000, max_vocabulary: int = 50_000,
-    prior: float = 200.0, min_count: int = 3, deviations: float = 2.0, min_weight: float = 0.5,
-) -> Model:
+def sure_log_odds(a: Column, b: Column, n1: int, n0: int, prior: float, deviations: float) -> Column:
+    """What is certain of a token's log-odds, toxic (a of n1) against other texts (b of n0); 0 where
+    chance may have made it. Priors follow the token's share in both together, and hold a pseudo-count
+    more, in proportion to the classes, so that a token without counts is neutral."""
+    share = (a + b) / F.lit(float(max(1, n1 + n0))) * F.lit(prior)
+    more = max(n1, n0, 1)
+    toxic, other = a + share + F.lit(max(n1, 1) / more), b + share + F.lit(max(n0, 1) / more)
+    delta = F.log(toxic / F.lit(n1 + prior)) - F.log(other / F.lit(n0 + prior))
+    margin = F.lit(deviations) * F.sqrt(F.lit(1.0) / toxic + F.lit(1.0) / other)
+    return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - margin)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 50_000, prior_share: float = 0.1, deviations: float = 2.0, least_drift: float = 0.02) -> Model:
     """docs: doc_id, t. labels: doc_id, toxic (only rows to learn from). Repeated labels of an id count
     as toxic if any is. Equal texts are one, toxic if any is, and a token counts once in a text. Three quarters of
-    the sample give the counts, the rest the calibration."""
+    the sample give the counts, the rest the calibration. The prior is as strong as a share of the toxic counts."""
     of = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train, so it is kept: all passes over it read the texts of the table once.
     texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("t").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     sample = cut(texts.select("t", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3).alias("check")))
-    # Toxic counts choose the words, then both classes are counted.
-    def count(words: set[str] | None, which: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for b in batches:
-                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own = set(tokens(t))
-                    seen[y].update(own if words is None else ["" if w not in words else w for w in own])
-            rows = [(w, y, n) for y in seen for w, n in seen[y].items()]
-            w, y, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], ["w", "y", "n"])
-
-        return sample.filter(which).select("t", "toxic").mapInArrow(run, "w string, y int, n long").groupBy("w", "y").agg(F.sum("n").alias("n"))
-
-    top = count(None, "NOT check AND toxic = 1").filter(F.col("n") >= min_count).orderBy(F.desc("n"), "w").limit(max_vocabulary)
-    words = {r["w"] for r in top.collect()}
-    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for r in count(words, "NOT check").collect():
-        counts[r["y"]][r["w"]] = r["n"]
-    n1, n0 = sum(counts[1].values()), sum(counts[0].values())
-
-    def log_odds(a: float, b: float) -> tuple[float, float]:
-        """Of a token's share in toxic against other texts, with its Dirichlet prior; and its deviation."""
-        alpha = max(1.0, prior * (a + b) / max(1, n1 + n0))
-        share1, share0 = (a + alpha) / (n1 + prior), (b + alpha) / (n0 + prior)
-        return math.log(share1 / share0), math.sqrt(1 / (a + alpha) + 1 / (b + alpha))
-
-    weights, rest1, rest0 = {}, counts[1].get("", 0), counts[0].get("", 0)
-    for w in words:
-        a, b = counts[1].get(w, 0), counts[0].get(w, 0)
-        delta, deviation = log_odds(a, b)
-        # What is certain of the log-odds: chance words of few texts weigh nothing.
-        if (sure := delta - deviations * deviation) >= min_weight:
-            weights[w] = sure
-        else:
-            rest1, rest0 = rest1 + a, rest0 + b
-    drift = min(-0.02, log_odds(rest1, rest0)[0])
-
-    def collect_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {0: Counter(), 1: Counter()}
         for b in batches:
-            out = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = tokens(t)
-                out.append((y, max(1, len(own)), [s for *_, s in segments(text_scores(own, weights, drift))]))
-            y, n, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["y", "n", "s"])
+                seen[y].update(set(tokens(t)))
+        for y, counts in seen.items():
+            names, numbers = list(counts), list(counts.values())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([y] * len(names), pa.int32()), pa.array(numbers, pa.int64())], ["w", "y", "n"])
+
+    counted = sample.filter("NOT check").select("t", "toxic").mapInArrow(count, "w string, y int, n long")
+    of_class = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
+    words = cut(counted.groupBy("w").agg(of_class(1).alias("a"), of_class(0).alias("b")))
+    n1, n0 = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    prior = max(1.0, prior_share * n1)
+    weighed = words.withColumn("s", sure_log_odds(F.col("a"), F.col("b"), n1, n0, prior, deviations))
+    weights = {r["w"]: r["s"] for r in weighed.filter("s <> 0").select("w", "s").collect()}
+    rest1, rest0 = weighed.filter("s = 0").agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    drift = min(-least_drift, math.log((rest1 + prior) / (n1 + prior)) - math.log((rest0 + prior) / (n0 + prior)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [tokens(t) for t in b.column(0).to_pylist()]
+            top = [max((s for *_, s in segments(text_scores(w, weights, drift))), default=None) for w in own]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([max(1, len(w)) for w in own], pa.int64()), pa.array(top, pa.float64())], ["y", "n", "s"])
 
-    seen = sample.filter("check").select("t", "toxic").mapInArrow(collect_best, "y int, n long, s array<double>").collect()
+    check = sample.filter("check").select("t", "toxic")
     # Extreme values of harmless texts: Gumbel by moments, over those that have a segment at all.
-    null = np.array([(max(r["s"]), math.log(r["n"])) for r in seen if r["y"] == 0 and r["s"]]).reshape(-1, 2)
+    null = np.array([(r["s"], math.log(r["n"])) for r in check.mapInArrow(best, "y int, n long, s double").filter("y = 0 AND s IS NOT NULL").collect()]).reshape(-1, 2)
     beta = max(0.25, float(np.std(null[:, 0] - null[:, 1]) * math.sqrt(6) / math.pi)) if len(null) > 9 else 1.0
     mu = float(np.mean(null[:, 0] - beta * null[:, 1]) - 0.5772156649 * beta) if len(null) > 9 else 0.0
-    rows = [_features([(0, 0, (s - mu - beta * math.log(r["n"])) / beta) for s in r["s"]]) for r in seen]
-    y = np.array([r["y"] for r in seen], float)
-    x = np.array([(1.0, *f) for f in rows]).reshape(-1, 3)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_features(strengths(tokens(t), weights, drift, mu, beta)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array([g[k] for g in got], pa.float64()) for k in range(2)]], ["y", "best", "total"])
+
+    rows = sorted(map(tuple, check.mapInArrow(features, "y int, best double, total double").collect()))
+    y, x = np.array([r[0] for r in rows], float), np.array([(1.0, *r[1:]) for r in rows]).reshape(-1, 3)
     logit = fit_logit(x, y) if len(y) else (-3.0, 0.0, 0.0)
     return Model(weights, drift, mu, beta, logit)  # type: ignore[arg-type]
 

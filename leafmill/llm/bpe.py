@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 #: Characters after a match that the pattern may have looked at.
 LOOK = 2
-#: Bytes of a piece, and characters of a text, that are encoded at once.
-LEAF, LEAF_TEXT = 128, 16_384
+#: Bytes of a piece, and characters of a text, that are a leaf of the tree: a word, and some lines.
+LEAF, LEAF_TEXT = 16, 512
+#: Pieces of so many characters are kept with their tokens.
+KNOWN_CHARS = 64
 CACHE_ENTRIES = 300_000
 
 
@@ -114,13 +116,13 @@ class Bpe:
         for p in self.pieces(text):
             if (ids := seen.get(p)) is None:
                 ids = self.tokens(p.encode())
-                if len(p) <= LEAF:
+                if len(p) <= KNOWN_CHARS:
                     seen[p] = ids
             out += ids
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= LEAF_TEXT:
+        if len(ids) <= LEAF_TEXT // 4:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])

@@ -17,9 +17,11 @@ The search for repeated windows has four stages over this exchange:
 
 Symbols are 48 bits: that two symbols share a name costs candidates, not results.
 
-Equal windows and symbols are collapsed in each map chunk first, so a passage that many documents
-share sends one entry per chunk. Copies of a whole text are found in stage 1 as well: all but the
-earliest need no windows.
+A task gathers its entries until a row has about ROW_ENTRIES of them, so rows stay long however many
+buckets there are, and what is sent depends on the texts, not on the size of the table. Equal windows
+and symbols are collapsed in what was gathered, so a passage that all documents share sends one entry
+for some megabytes of text, and its bucket stays small. Copies of a whole text are found in stage 1
+as well: all but the earliest need no windows.
 """
 
 from __future__ import annotations
@@ -42,30 +44,72 @@ WHOLE, SYMBOLS, ENTRIES, FLAGS, TEXT, RESULT = range(6)
 NO_ID = -(2**63)
 CHUNK_CHARS = 1 << 19
 BUCKET_BYTES = 1 << 22
-
-
-def buckets_for(docs: DataFrame) -> int:
-    """An odd number of buckets of about BUCKET_BYTES of the input as stored."""
+#: Entries of a row, on average, and entries that a task gathers for that at most.
+ROW_ENTRIES, MOST_GATHERED = 48, 1 << 22
+BATCH_BYTES = 1 << 23
+MOST_BUCKETS = 4_000_000
+#: Sizes from here on are Spark's guess at what it doesn't know.
+UNKNOWN_BYTES = 1 << 60
+#: Buckets of a partition of the exchange, and partitions at most; a task sees one bucket after another.
+BUCKETS_A_TASK, MOST_TASKS = 2, 20_000
+
+
+def buckets_for(docs: DataFrame, text_col: str) -> int:
+    """An odd number of buckets of about BUCKET_BYTES of the input as stored; where Spark doesn't know
+    how much that is, of its texts."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(64, min(size // BUCKET_BYTES, 4_000_000)) | 1
+    if size >= UNKNOWN_BYTES:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    return max(64, min(size // BUCKET_BYTES, MOST_BUCKETS)) | 1
 
 
 class Out:
-    """Collects rows and cuts them into Arrow batches of bounded size."""
+    """Gathers entries for long rows, collects rows and cuts them into Arrow batches of bounded size."""
 
-    def __init__(self) -> None:
+    def __init__(self, nb: int) -> None:
         self.rows: list[tuple] = []
         self.size = 0
+        self.limit = min(MOST_GATHERED, max(1 << 16, nb * ROW_ENTRIES))
+        self.held: dict[str, list] = {}
 
     def add(self, bucket: int, kind: int, doc_id: int | None = None, body: bytes | None = None, n: int | None = None, digest: bytes | None = None) -> None:
         self.rows.append((bucket, kind, doc_id, body, n, digest))
         self.size += 64 + len(body or b"")
 
+    def gather(self, name: str, then: Callable, *columns: np.ndarray | list, weight: int | None = None) -> None:
+        """Hold columns until all that came under this name are enough, or the end; then(*columns) goes on with them."""
+        if not len(columns[0]):
+            return
+        slot = self.held.setdefault(name, [then, [], 0])
+        slot[1].append(columns)
+        slot[2] += len(columns[0]) if weight is None else weight
+        if slot[2] >= self.limit:
+            self._settle(name)
+
+    def _settle(self, name: str) -> None:
+        then, parts, _ = self.held.pop(name)
+        then(*[[x for p in c for x in p] if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts, strict=True)])
+
+    def deal(self, kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> None:
+        """Entries of one kind for their buckets."""
+        self.gather(f"kind {kind}", lambda b, *a: deal(self, kind, b, *a), np.asarray(bucket, np.int64), *arrays)
+
     def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if self.rows and self.size >= least:
-            columns = list(zip(*self.rows, strict=True))
-            self.rows, self.size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+        if not self.rows or self.size < least:
+            return
+        rows, self.rows, self.size = self.rows, [], 0
+        at = size = 0
+        for k, row in enumerate(rows, 1):
+            size += 64 + len(row[3] or b"")
+            if size >= BATCH_BYTES or k == len(rows):
+                columns = list(zip(*rows[at:k], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+                at, size = k, 0
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        while self.held:
+            self._settle(next(iter(self.held)))
+        yield from self.flush()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -170,14 +214,14 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 def squeezed(batches: Iterator[pa.RecordBatch], nb: int) -> Iterator[pa.RecordBatch]:
     """Texts for their document buckets, compressed once for all exchanges."""
-    out, press = Out(), zstandard.ZstdCompressor(level=3).compress
+    out, press = Out(nb), zstandard.ZstdCompressor(level=3).compress
     for b in batches:
         for i in range(0, b.num_rows, 128):
             part = b.slice(i, 128)
             for d, t in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist(), strict=True):
                 out.add(d % nb, TEXT, d, press(t))
             yield from out.flush(1 << 22)
-    yield from out.flush()
+    yield from out.finish()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], pressed: bool = False) -> Iterator[list[tuple[int, bytes, bytes]]]:
@@ -207,8 +251,9 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.
                 yield int(bucket[i]), int(kind[i]), b.slice(i, j - i)
 
 
-def exchange(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
+def exchange(rows: DataFrame, nb: int) -> DataFrame:
+    """As many partitions as the input asks for, so that a task stays the same size."""
+    return rows.repartition(max(1, min(MOST_TASKS, nb // BUCKETS_A_TASK)), "bucket").sortWithinPartitions("bucket", "kind")
 
 
 Emit = Iterator[pa.RecordBatch]
@@ -216,43 +261,52 @@ Emit = Iterator[pa.RecordBatch]
 
 def symbols_stage(batches: Iterator[pa.RecordBatch], nb: int, symbols_of: Callable, whole_of: Callable) -> Emit:
     """Stage 1, map. symbols_of(documents) gives symbols and the document index of each."""
-    out = Out()
-    for docs in chunks(batches):
-        ids, texts = np.array([d for d, _, _ in docs], np.int64), [t for _, t, _ in docs]
-        home = np.mod(ids, nb).astype(home_kind(nb))
-        sym, doc = symbols_of(texts)
+    out = Out(nb)
+
+    def symbols(sym: np.ndarray, home: np.ndarray) -> None:
         # Collapse: a symbol that occurs twice here is told to its buckets at once and sent once, marked.
         order = np.argsort(sym, kind="stable")
-        s, h = sym[order], home[doc[order]]
+        s, h = sym[order], home[order]
         first = np.ones(len(s), bool)
         first[1:] = s[1:] != s[:-1]
         twice = ~first
         twice[:-1] |= ~first[1:]
         again, where = s[twice], h[twice]
         if len(again):
-            pair = np.unique(np.stack([again, where.astype(np.uint64)], 1), axis=0)
-            deal(out, FLAGS, pair[:, 1].astype(np.int64), *split48(pair[:, 0]))
-        deal(out, SYMBOLS, (s[first] % np.uint64(nb)).astype(np.int64), *split48(s[first]), h[first], twice[first].astype(np.uint8))
-        a, z, at = whole_of(texts)
-        order, new, least = first_of(ids[at], a, z)
-        a, own = a[order], ids[at][order]
+            by = np.lexsort((where, again))
+            again, where = again[by], where[by]
+            new = np.ones(len(again), bool)
+            new[1:] = (again[1:] != again[:-1]) | (where[1:] != where[:-1])
+            out.deal(FLAGS, where[new], *split48(again[new]))
+        out.deal(SYMBOLS, s[first] % np.uint64(nb), *split48(s[first]), h[first], twice[first].astype(np.uint8))
+
+    def whole(a: np.ndarray, z: np.ndarray, ids: np.ndarray) -> None:
+        order, new, least = first_of(ids, a, z)
+        a, own = a[order], ids[order]
         later = own != least
-        deal(out, TEXT, np.mod(own[later], nb), own[later], a[later])
-        deal(out, WHOLE, (a[new] % np.uint64(nb)).astype(np.int64), a[new], z[order][new], own[new])
+        out.deal(TEXT, np.mod(own[later], nb), own[later], a[later])
+        out.deal(WHOLE, a[new] % np.uint64(nb), a[new], z[order][new], own[new])
+
+    for docs in chunks(batches):
+        ids, texts = np.array([d for d, _, _ in docs], np.int64), [t for _, t, _ in docs]
+        sym, doc = symbols_of(texts)
+        out.gather("symbols", symbols, sym, np.mod(ids, nb).astype(home_kind(nb))[doc])
+        a, z, at = whole_of(texts)
+        out.gather("whole", whole, a, z, ids[at])
         yield from out.flush(1 << 22)
-    yield from out.flush()
+    yield from out.finish()
 
 
 def repeated_stage(batches: Iterator[pa.RecordBatch], nb: int) -> Emit:
     """Stage 1, reduce: to document buckets, repeated symbols (SYMBOLS) and later copies (WHOLE)."""
-    out = Out()
+    out = Out(nb)
 
     def close(whole: list[bytes], syms: list[bytes]) -> None:
         a, z, ids = unpack_all(whole, "u8", "u8", "i8")
         if len(a):
             order, _, least = first_of(ids, a, z)
             later = ids[order] != least
-            deal(out, WHOLE, np.mod(ids[order][later], nb), ids[order][later], a[order][later])
+            out.deal(WHOLE, np.mod(ids[order][later], nb), ids[order][later], a[order][later])
         low, high, h, many = unpack_all(syms, "u4", "u2", home_kind(nb), "u1")
         if len(low):
             s = join48(low, high)
@@ -263,7 +317,7 @@ def repeated_stage(batches: Iterator[pa.RecordBatch], nb: int) -> Emit:
             group = np.cumsum(new) - 1
             total = np.bincount(group, many.astype(np.int64) + 1)
             hit = total[group] > 1
-            deal(out, SYMBOLS, h[hit].astype(np.int64), *split48(s[hit]))
+            out.deal(SYMBOLS, h[hit], *split48(s[hit]))
 
     now, whole, syms = None, [], []
     for bucket, kind, rows in by_bucket(batches):
@@ -278,13 +332,13 @@ def repeated_stage(batches: Iterator[pa.RecordBatch], nb: int) -> Emit:
         else:
             (whole if kind == WHOLE else syms).extend(bodies)
     close(whole, syms)
-    yield from out.flush()
+    yield from out.finish()
 
 
 def candidates_stage(batches: Iterator[pa.RecordBatch], nb: int, whole_of: Callable, candidates_of: Callable, result_of: Callable) -> Emit:
     """Stage 2: documents meet their repeated symbols. candidates_of(texts, ids, repeated, out, nb) sends
     windows and returns which texts have candidates; the others' results are final."""
-    out = Out()
+    out = Out(nb)
     now: int | None = None
     later, syms = [], []
     ready: tuple[set, np.ndarray] | None = None
@@ -315,19 +369,19 @@ def candidates_stage(batches: Iterator[pa.RecordBatch], nb: int, whole_of: Calla
                     else:
                         out.add(bucket, RESULT, d, *result_of(t, np.zeros((0, 2), np.int64)))
                 yield from out.flush(1 << 22)
-    yield from out.flush()
+    yield from out.finish()
 
 
 def windows_stage(batches: Iterator[pa.RecordBatch], nb: int, later_of: Callable) -> Emit:
     """Stage 3. later_of(bodies) gives doc, start, length of the repeated stretches of a bucket;
     texts and results pass."""
-    out = Out()
+    out = Out(nb)
     now, entries = None, []
 
     def close() -> None:
         if entries:
             doc, start, length = later_of(entries)
-            deal(out, FLAGS, np.mod(doc, nb), doc, start.astype(np.int64), length.astype(np.int64))
+            out.deal(FLAGS, np.mod(doc, nb), doc, start.astype(np.int64), length.astype(np.int64))
 
     for bucket, kind, rows in by_bucket(batches):
         if bucket != now:
@@ -340,12 +394,12 @@ def windows_stage(batches: Iterator[pa.RecordBatch], nb: int, later_of: Callable
             yield from out.flush()
             yield rows
     close()
-    yield from out.flush()
+    yield from out.finish()
 
 
-def results_stage(batches: Iterator[pa.RecordBatch], result_of: Callable) -> Emit:
+def results_stage(batches: Iterator[pa.RecordBatch], nb: int, result_of: Callable) -> Emit:
     """Stage 4: texts meet their repeated stretches (start, length), sorted and not yet merged."""
-    out = Out()
+    out = Out(nb)
     plain = zstandard.ZstdDecompressor().decompress
     now: int | None = None
     flags: list[bytes] = []
@@ -388,11 +442,11 @@ def find_repeats(
 ) -> DataFrame:
     """Rows doc_id, body, n, digest as result_of(text, runs) gives them; runs is None for a later copy. Rows of one id are one document: neither is
     earlier than the other. A null id comes first of all; it is null again in the result."""
-    nb = buckets_for(docs)
+    nb = buckets_for(docs, text_col)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    told = exchange(source.mapInArrow(lambda b: symbols_stage(b, nb, symbols_of, whole_of), SCHEMA)).mapInArrow(lambda b: repeated_stage(b, nb), SCHEMA)
+    told = exchange(source.mapInArrow(lambda b: symbols_stage(b, nb, symbols_of, whole_of), SCHEMA), nb).mapInArrow(lambda b: repeated_stage(b, nb), SCHEMA)
     texts = source.mapInArrow(lambda b: squeezed(b, nb), SCHEMA)
-    sent = exchange(told.union(texts)).mapInArrow(lambda b: candidates_stage(b, nb, whole_of, candidates_of, result_of), SCHEMA)
-    found = exchange(sent).mapInArrow(lambda b: windows_stage(b, nb, later_of), SCHEMA)
-    done = exchange(found).mapInArrow(lambda b: results_stage(b, result_of), SCHEMA)
+    sent = exchange(told.union(texts), nb).mapInArrow(lambda b: candidates_stage(b, nb, whole_of, candidates_of, result_of), SCHEMA)
+    found = exchange(sent, nb).mapInArrow(lambda b: windows_stage(b, nb, later_of), SCHEMA)
+    done = exchange(found, nb).mapInArrow(lambda b: results_stage(b, nb, result_of), SCHEMA)
     return done.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "body", "n", "digest")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import ENTRIES, FLAGS, SYMBOL_MASK, Out, deal, find_repeats, splitmix, unpack_all
+from .packed import ENTRIES, FLAGS, SYMBOL_MASK, Out, find_repeats, splitmix, unpack_all
 
 WIDTH = 20
 ROUNDS = 4
@@ -209,7 +209,15 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             return has
         a, z, doc = p.name_a[s], (p.name_z[s] >> np.uint64(32)).astype(np.uint32), p.doc_of_word[s]
         has[doc] = True
-        own, start = ids[doc], (s - p.begin[doc]).astype(np.uint32)
+
+        def send(*entries: np.ndarray) -> None:
+            collapse(out, nb, *entries)
+
+        out.gather("windows", send, a, z, ids[doc], (s - p.begin[doc]).astype(np.uint32))
+        return has
+
+    def collapse(out: Out, nb: int, a: np.ndarray, z: np.ndarray, own: np.ndarray, start: np.ndarray) -> None:
+        """Of equal windows of what a task gathered the earliest is sent; the others are repeats."""
         order = np.lexsort((start, own, z, a))
         a, z, own, start = a[order], z[order], own[order], start[order]
         new = np.ones(len(a), bool)
@@ -218,8 +226,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         later = (own != own[first]) | (start != start[first])
         flag(out, nb, own[later], start[later].astype(np.int64), np.full(later.sum(), width))
         sent = np.nonzero(new)[0][np.lexsort((start[new], own[new]))]
-        deal(out, ENTRIES, (a[sent] % np.uint64(nb)).astype(np.int64), a[sent], z[sent], own[sent], start[sent])
-        return has
+        out.deal(ENTRIES, a[sent] % np.uint64(nb), a[sent], z[sent], own[sent], start[sent])
 
     def later_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, z, own, start = unpack_all(bodies, "u8", "u4", "i8", "u4")
@@ -264,4 +271,4 @@ def flag(out: Out, nb: int, own: np.ndarray, start: np.ndarray, length: np.ndarr
     new[1:] = (own[1:] != own[:-1]) | (start[1:] > end[:-1])
     at = np.nonzero(new)[0]
     stop = np.maximum.reduceat(end, at)
-    deal(out, FLAGS, np.mod(own[at], nb), own[at], start[at], stop - start[at])
+    out.deal(FLAGS, np.mod(own[at], nb), own[at], start[at], stop - start[at])

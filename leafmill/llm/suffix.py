@@ -206,19 +206,25 @@ def suffix_dedup(
         has[a.doc[hit]] = True
         own, start = ids[a.doc[hit]], a.first[hit] - a.begin[a.doc[hit]]
         body = [a.data[i : j + width] for i, j in zip(a.first[hit].tolist(), a.last[hit].tolist(), strict=True)]
-        order = np.lexsort((start, own)).tolist()
+
+        def send(*entries) -> None:
+            collapse(out, nb, *entries)
+
+        out.gather("snippets", send, a.sym[hit], own, start.astype(np.int64), body, weight=sum(map(len, body)) // 16)
+        return has
+
+    def collapse(out: Out, nb: int, sym: np.ndarray, own: np.ndarray, start: np.ndarray, body: list[bytes]) -> None:
+        """Of equal snippets of what a task gathered the earliest is sent; the others are repeats."""
         seen: dict[bytes, int] = {}
         keep, later = [], []
-        for k in order:  # equal snippets: the earliest is sent, the others are repeats
+        for k in np.lexsort((start, own)).tolist():
             if seen.setdefault(body[k], k) == k:
                 keep.append(k)
             elif own[k] != own[f := seen[body[k]]] or start[k] != start[f]:
                 later.append(k)
         if later:
             flag(out, nb, own[later], start[later], np.array([len(body[k]) for k in later], np.int64))
-        sym = a.sym[hit][keep]
-        deal_bytes(out, ENTRIES, (sym % np.uint64(nb)).astype(np.int64), [body[k] for k in keep], sym, own[keep], start[keep].astype(np.int64))
-        return has
+        deal_bytes(out, ENTRIES, (sym[keep] % np.uint64(nb)).astype(np.int64), [body[k] for k in keep], sym[keep], own[keep], start[keep])
 
     def later_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts, sym, own, start = unpack_bytes(bodies, "u8", "i8", "i8")

@@ -14,29 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, first_row, join_groups, text_or_empty
-
-#: Bits of the bitmap: at least 16 a group, and at most 2**29 (64 MiB in all, the bound of its broadcast).
-#: A full bitmap lets more texts move than need to, never fewer.
-BITS_A_GROUP, LEAST_BITS, MOST_BITS = 16, 15, 29
-
+from .common import cut, first_row, in_bitmap, join_groups, text_or_empty
 
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def in_bitmap(rows: DataFrame, keys: DataFrame, column: str, n: int) -> DataFrame:
-    """The rows whose `column` is among the n values of keys, and a few more."""
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_A_GROUP * n - 1).bit_length()))
-    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
-    bitmap = keys.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_part"))
-    bitmap = bitmap.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
-    placed = rows.withColumn("_at", place).join(F.broadcast(bitmap), F.bitmap_bucket_number("_at") == F.col("_part"))
-    bit = F.bitmap_bit_position("_at")
-    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.filter(F.call_function("getbit", byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(rows.columns)
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -48,14 +48,16 @@ def provider_model(model: Column, url: Column) -> Column:
     return F.when(own, F.regexp_replace(model, "^azure/", "")).otherwise(model)
 
 
+def headroom(available: Column, floor: Column) -> Column:
+    """Whether a call may start: enough memory is free, or nobody knows how much is."""
+    return F.coalesce(available >= floor, F.lit(True))
+
+
 def register_tools(spark: SparkSession, nodes: DataFrame) -> None:
     """SQL access by name: the view `nodes`, and the table function find_words(text), which gives each
-    word of a text with its place."""
+    word of a text with its place. It is a SQL function, so no text crosses to Python."""
     nodes.createOrReplaceTempView("nodes")
-
-    @F.udtf(returnType="pos int, word string")
-    class FindWords:
-        def eval(self, text: str):
-            yield from enumerate((text or "").split())
-
-    spark.udtf.register("find_words", FindWords)
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION find_words(body STRING) RETURNS TABLE (pos INT, word STRING) "
+        r"RETURN SELECT w.pos, w.col FROM (SELECT posexplode(regexp_extract_all(coalesce(find_words.body, ''), '\\S+', 0))) AS w"
+    )

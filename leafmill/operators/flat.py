@@ -82,8 +82,13 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "md").mapInPandas(run, f"doc_id {kind}, blocks {BLOCKS}")
 
 
+def signals(blocks_: Column) -> Column:
+    """The roles that decide a class, each once, in the order in which they appear."""
+    return F.array_intersect(F.transform(blocks_, lambda b: b["role"]), F.array(*map(F.lit, ("table", "kv", "prose"))))
+
+
 def content_class(blocks_: Column) -> Column:
-    roles = F.array_intersect(F.array_distinct(F.transform(blocks_, lambda b: b["role"])), F.array(*map(F.lit, ("table", "kv", "prose"))))
+    roles = signals(blocks_)
     return (
         F.when(F.size(roles) > 1, F.lit("flat_mixed"))
         .when(F.array_contains(roles, "table"), F.lit("flat_table"))

@@ -9,6 +9,8 @@ from leafmill.functions import text as T
 from leafmill.operators.lines import explode_lines, implode_lines
 
 MARK = "^(#{1,6})(?=\\s|$)"
+#: Levels of an outline entry, counted before they are clamped to those of headings.
+MAX_OUTLINE = 12
 WHOLE = "^#{1,6}[ \\t]+(.*\\S)[ \\t]*$"
 
 
@@ -91,8 +93,8 @@ def outline_extents(toc: DataFrame, totals: DataFrame) -> DataFrame:
     next entry of its level or a smaller one begins, in outline order; else behind the last page."""
     following = Window.partitionBy("doc_id").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
     capped = toc.join(totals, "doc_id")
-    nxt = {k: F.min(F.when(F.col("level") <= k, F.struct("i", "page"))).over(following) for k in range(1, 7)}
-    stop = F.coalesce(*[F.when(F.col("level") == k, nxt[k]["page"]) for k in range(1, 7)], F.col("total_pages") + 1)
+    nxt = {k: F.min(F.when(F.col("level") <= k, F.struct("i", "page"))).over(following) for k in range(1, MAX_OUTLINE + 1)}
+    stop = F.coalesce(*[F.when(F.col("level") == k, nxt[k]["page"]) for k in nxt], F.col("total_pages") + 1)
     return capped.select(
         "doc_id", "i", T.clamp_level(F.col("level")).alias("level"), T.title_key(F.col("title")).alias("key"),
         T.collapse_space(T.normalize_dashes(F.col("title"))).alias("raw"), F.col("page").alias("start"), stop.alias("stop"),

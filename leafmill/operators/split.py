@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,18 +46,21 @@ def ordinal_of(m: re.Match) -> tuple[int, ...]:
 
 def increasing_run(values: list) -> list[int]:
     """Indices of a longest strictly increasing subsequence; the earliest wins ties, for a predecessor
-    and for the end."""
-    best: list[tuple[int, int]] = []  # length, minus the predecessor
+    and for the end. Piles hold the indices that end a run of one length: a later one on a pile is
+    never larger, so both searches are by halves."""
+    piles: list[list[int]] = []
+    before = [-1] * len(values)
     for i, v in enumerate(values):
-        n, j = max(((best[j][0], -j) for j in range(i) if values[j] < v), default=(0, 1))
-        best.append((n + 1, j))
-    if not best:
-        return []
-    at = max(range(len(best)), key=lambda k: (best[k][0], -k))
-    out = []
-    while at >= 0:
-        out.append(at)
-        at = -best[at][1]
+        n = bisect_left(piles, v, key=lambda pile: values[pile[-1]])
+        if n:
+            below = piles[n - 1]
+            before[i] = below[bisect_left(below, True, key=lambda j: values[j] < v)]
+        if n == len(piles):
+            piles.append([])
+        piles[n].append(i)
+    out = [piles[-1][0]] if piles else []
+    while out and before[out[-1]] >= 0:
+        out.append(before[out[-1]])
     return out[::-1]
 
 

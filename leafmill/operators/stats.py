@@ -24,13 +24,28 @@ def gauges(events: DataFrame, value: str, order: Column, *labels: str) -> DataFr
     return events.groupBy(*labels).agg(F.max_by(value, order).alias("value"))
 
 
+#: Value ranges of a rank over all samples; their sums, one row each, are broadcast.
+RANK_BUCKETS = 4_096
+
+
 def nearest_rank(samples: DataFrame, value: str, percents: tuple[int, ...], *labels: str) -> DataFrame:
     """sorted[min(n * p div 100, n - 1)] per label, exact. Values are counted first, so a label with any
     number of samples is a prefix sum over its different values rather than one array."""
     counted = samples.filter(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*labels).orderBy(value) if labels else Window.orderBy(value)
-    whole = Window.partitionBy(*labels)
-    placed = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(whole))
+    if labels:
+        w = Window.partitionBy(*labels).orderBy(value)
+        whole = Window.partitionBy(*labels)
+        placed = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(whole))
+    else:
+        # Prefix sums inside value buckets, and of the buckets' sums: no task sees all values.
+        low, high = counted.agg(F.min(value), F.max(value)).first()
+        step = max((float(high or 0) - float(low or 0)) / RANK_BUCKETS, 1e-9)
+        bucketed = counted.withColumn("bucket", F.floor((F.col(value).cast("double") - F.lit(float(low or 0))) / F.lit(step)))
+        sums = bucketed.groupBy("bucket").agg(F.sum("c").alias("in_bucket"))
+        before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("before"), F.sum("in_bucket").over(Window.partitionBy()).alias("n"))
+        own = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        placed = bucketed.join(F.broadcast(sums), "bucket").withColumn("upto", F.col("before") + F.sum("c").over(own))
     rank = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
     return placed.groupBy(*labels).agg(*[F.min(F.when(F.col("upto") > rank(p), F.col(value))).alias(f"p{p}") for p in percents])
 

@@ -10,7 +10,8 @@ from leafmill.operators import flat, gate, levels, nodes, outline, split, stats
 from leafmill.plans import retrieve
 from leafmill.plans.registry import query
 from leafmill.plans.scalar_queries import join
-from leafmill.plans.tree_queries import GEO, geo, legal, outline_parts, pair, titled
+from leafmill.plans.store_queries import LIBRARY, library, stand_in
+from leafmill.plans.tree_queries import BROKEN, CONTAIN, GEO, VERDICT, geo, legal, outline_parts, pair, tables, titled
 
 
 @query("tree_08_heading_pages", "outline_heads", """
@@ -31,22 +32,28 @@ def _(o: DataFrame, h: DataFrame) -> DataFrame:
     return outline.match_outline(o, h.select("doc_id", "ord", F.col("title").alias("text"), "page"))
 
 
-@query("tree_06_outline_optional", ("titles", "outline_heads"))
+@query("tree_06_outline_optional", ("titles", "outline_heads"), CONTAIN.replace("FROM {titles})", "FROM (SELECT id, doc_id, ord, translate(title, '‐‑–—−', '-----') AS title FROM {titles}))") + """
+SELECT doc_id, string_agg(CASE WHEN depth IS NULL THEN '#' ELSE repeat('#', least(6, depth)) END || ' ' || trim(title) || chr(10) || 'body of ' || CAST(id AS VARCHAR), chr(10) ORDER BY ord) AS md FROM depths GROUP BY 1""")
 def _(t: DataFrame, h: DataFrame) -> DataFrame:
     """Documents without an outline pass the last step unchanged."""
     heads, pages, _, _ = outline_parts(h.withColumn("i", F.col("ord")), h)
-    toc = h.filter("ord < 0").select("doc_id", F.col("ord").alias("i"), F.lit(1).alias("level"), "title", "page")
+    toc = h.limit(0).select("doc_id", F.col("ord").alias("i"), F.lit(1).alias("level"), "title", "page")
     totals = h.select("doc_id").distinct().withColumn("total_pages", F.lit(10))
     return levels.recover_depth(titled(t), pages, toc, totals)
 
 
-@query("tree_09_promoted_count", "titles")
+@query("tree_09_promoted_count", "titles", CONTAIN.replace("FROM {titles})", "FROM (SELECT id, doc_id, ord, translate(title, '‐‑–—−', '-----') AS title FROM {titles}))") + """
+, anchors AS (SELECT DISTINCT doc_id, label FROM labeled WHERE id % 2 = 0 AND len(label) > 0
+), promoted AS (SELECT DISTINCT l.doc_id, l.ord FROM labeled l, unnest(range(1, greatest(len(l.label), 1))) AS u(k) WHERE l.id % 2 = 1 AND len(l.label) > 1
+  AND len(list_filter(list_slice(l.label, k + 1, len(l.label)), lambda a: NOT regexp_matches(a, '^[0-9]+$'))) = 0
+  AND EXISTS (SELECT 1 FROM anchors a WHERE a.doc_id = l.doc_id AND a.label = list_slice(l.label, 1, k)))
+SELECT doc_id, count(*) AS promoted FROM promoted GROUP BY 1""")
 def _(t: DataFrame) -> DataFrame:
     p = levels.promotions(t.select("doc_id", "ord", (F.col("id") % 2 == 0).alias("is_heading"), F.col("title").alias("text")))
     return p.groupBy("doc_id").agg(F.count("*").alias("promoted"))
 
 
-@query("tree_15_reasons", "geo_broken")
+@query("tree_15_reasons", "geo_broken", BROKEN + VERDICT + " SELECT reason, count(*) AS n FROM verdict GROUP BY 1")
 def _(t: DataFrame) -> DataFrame:
     d = geo(t)
     return gate.verdict(nodes.build_nodes(d), d).groupBy("reason").agg(F.count("*").alias("n"))
@@ -61,7 +68,8 @@ def _(d: DataFrame) -> DataFrame:
     return split.split_oversized(leaves, max_chars=150, min_gap=50).groupBy("doc_id").agg(F.count("*").cast("int").alias("parts"))
 
 
-@query("win_07_increasing_run", "documents")
+@query("win_07_increasing_run", "documents", """
+SELECT doc_id - doc_id % 40 AS doc_id, count(*) AS run FROM {documents} GROUP BY 1 HAVING count(*) >= 3 AND sum(length(text)) > 2000""")
 def _(d: DataFrame) -> DataFrame:
     s = split.split_oversized(legal(d).select("doc_id", F.lit("n").alias("node_id"), "text"), max_chars=2_000)
     return s.filter("depth = 1").groupBy("doc_id").agg(F.count("*").alias("run"))
@@ -90,10 +98,11 @@ def _(j: DataFrame) -> DataFrame:
 
 
 @query("str_15_provider_model", "documents", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'azure/' || lang END AS model FROM {documents}""")
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '-' || source WHEN doc_id % 3 = 0 THEN 'other/azure/' || lang ELSE 'azure/' || lang || '-' || source END AS model FROM {documents}""")
 def _(d: DataFrame) -> DataFrame:
-    url = F.when(F.col("doc_id") % 2 == 0, "https://x.openai.azure.com/v1").otherwise("https://example.org")
-    return d.select("doc_id", models.provider_model(F.concat(F.lit("azure/"), "lang"), url).alias("model"))
+    url = F.concat(F.lit("https://"), "source", F.when(F.col("doc_id") % 2 == 0, ".OpenAI.Azure.com/v1").otherwise(".example.org/azure.com"))
+    name = F.when((F.col("doc_id") % 2 == 1) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("other/azure/"), "lang")).otherwise(F.concat(F.lit("azure/"), "lang", F.lit("-"), "source"))
+    return d.select("doc_id", models.provider_model(name, url).alias("model"))
 
 
 @query("udf_01_completion", "conversations", "SELECT conv_id, turn, left(string_split(text, '.')[1], 200) AS said FROM {conversations}")
@@ -111,30 +120,42 @@ def _(p: DataFrame) -> DataFrame:
     return p.select("page_id", models.caption(F.concat_ws("|", F.col("page_id").cast("string"), "url"), client).alias("said"))
 
 
-@query("udf_04_table_function", "turn_nodes")
+@query("udf_04_table_function", "turn_nodes", r"SELECT doc_id, ord, unnest(regexp_extract_all(title, '\S+')) AS word FROM {turn_nodes}")
 def _(t: DataFrame) -> DataFrame:
     spark = t.sparkSession
     models.register_tools(spark, t)
     return spark.sql("SELECT doc_id, ord, w.word FROM nodes, LATERAL find_words(title) w")
 
 
-@query("ret_07_prefilter", "conversations")
-def _(c: DataFrame) -> DataFrame:
-    docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("text").alias("summary"))
-    scored = docs.withColumn("score", retrieve.lexical_score(F.col("summary"), "the that of"))
-    return scored.filter("score > 0").select("doc_id", "score")
+@query("ret_07_prefilter", ("conversations", "turn_nodes", "documents"), LIBRARY + "SELECT doc_id, doc_name FROM lib WHERE doc_id % 3 = 0")
+def _(c: DataFrame, t: DataFrame, d: DataFrame) -> DataFrame:
+    docs = library(c, t, d)[0]
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), "doc_name")
+    asked = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("documents\n"), line).alias("prompt"))
+    picks = retrieve.model_picks(asked, stand_in).filter("pos IS NOT NULL").select(F.col("picked").cast("long").alias("doc_id"), "pos")
+    return retrieve.pick_in_order(docs, picks).select("doc_id", "doc_name")
 
 
 @query("ret_08_node_search", "turn_nodes", """
-SELECT doc_id, node_id, (contains(lower(text), 'the'))::INT + (contains(lower(text), 'that'))::INT AS score FROM {turn_nodes} WHERE contains(lower(text), 'the') OR contains(lower(text), 'that')""")
+SELECT CAST(doc_id AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, node_id) - 1 AS INT) AS pos, node_id AS picked, NULL AS error
+FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM {turn_nodes}) WHERE n % 5 > 0 AND ord % 2 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, 'ValueError: down' FROM {turn_nodes} GROUP BY doc_id HAVING count(*) % 5 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, 'no ids' FROM {turn_nodes} GROUP BY doc_id HAVING count(*) % 5 > 0 AND count(*) FILTER (ord % 2 = 0) = 0""")
 def _(t: DataFrame) -> DataFrame:
-    return t.select("doc_id", "node_id", retrieve.lexical_score(F.col("text"), "that the").alias("score")).filter("score > 0")
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "node_id"))), lambda x: x["node_id"]), "\n")
+    return retrieve.model_picks(t.groupBy(F.col("doc_id").alias("key")).agg(F.concat(F.lit("nodes\n"), ids).alias("prompt")), stand_in)
 
 
-@query("ret_10_missing_skipped", "conversations", "SELECT DISTINCT conv_id AS doc_id FROM {conversations} WHERE conv_id % 2 = 0")
+@query("ret_10_missing_skipped", "conversations", "SELECT DISTINCT conv_id AS doc_id FROM {conversations} WHERE conv_id % 2 = 0 AND conv_id // 2 IN (SELECT conv_id FROM {conversations})")
 def _(c: DataFrame) -> DataFrame:
-    listed = c.select((F.col("conv_id") * 2).alias("doc_id")).distinct()
-    return listed.join(c.select(F.col("conv_id").alias("doc_id")).distinct(), "doc_id")
+    docs = c.select(F.col("conv_id").alias("doc_id")).distinct()
+    return retrieve.pick_in_order(docs, c.select((F.col("conv_id") * 2).alias("doc_id"), F.col("turn").alias("pos"))).select("doc_id")
+
+
+@query("ret_03_get_flat_document", "order_lines", "SELECT doc_id, 2 AS total_blocks, 'table|prose' AS roles, 'flat_mixed' AS content_class FROM {order_lines} WHERE doc_id % 2 = 1 GROUP BY 1 UNION ALL SELECT doc_id, 1, 'table', 'flat_table' FROM {order_lines} WHERE doc_id % 2 = 0 GROUP BY 1")
+def _(t: DataFrame) -> DataFrame:
+    f = retrieve.get_flat_document(flat.blocks(noted(t)))
+    return f.select("doc_id", "total_blocks", join(F.col("roles")).alias("roles"), "content_class")
 
 
 @query("ret_11_sections", "turn_nodes", "SELECT doc_id, CAST(count(*) FILTER (parent_ord IS NULL) AS INT) AS sections FROM {turn_nodes} GROUP BY 1")
@@ -142,9 +163,13 @@ def _(t: DataFrame) -> DataFrame:
     return retrieve.get_document(t).select("doc_id", F.size("top_level_sections").alias("sections"))
 
 
-@query("set_04_signals", "order_lines", "SELECT doc_id, 'table' AS signals FROM {order_lines} GROUP BY 1")
-def _(t: DataFrame) -> DataFrame:
-    from leafmill.plans.tree_queries import tables
+def noted(t: DataFrame) -> DataFrame:
+    """Tables of orders, every other one with a closing sentence."""
+    note = F.when(F.col("doc_id") % 2 == 1, "\n\nAll prices in euros.").otherwise("")
+    return tables(t).select("doc_id", F.concat("md", note).alias("md"))
+
 
-    own = F.array_intersect(F.transform("blocks", lambda b: b["role"]), F.array(*map(F.lit, ("table", "kv", "prose"))))
-    return flat.blocks(tables(t)).select("doc_id", join(own).alias("signals"))
+@query("set_04_signals", "order_lines", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'table|prose' ELSE 'table' END AS signals, CASE WHEN doc_id % 2 = 1 THEN 'flat_mixed' ELSE 'flat_table' END AS content_class FROM {order_lines} GROUP BY 1")
+def _(t: DataFrame) -> DataFrame:
+    b = flat.blocks(noted(t))
+    return b.select("doc_id", join(flat.signals(F.col("blocks"))).alias("signals"), flat.content_class(F.col("blocks")).alias("content_class"))
\ No newline at end of file

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +23,25 @@ def keyword_hits(nodes: DataFrame, query: str | Column) -> DataFrame:
     return nodes.filter(T.any_of(*fields))
 
 
-def page_set(selector: str | Column) -> Column:
-    """'3,5-7' as an array of pages; a reversed range is empty; anything else raises."""
+def page_ranges(selector: str | Column) -> Column:
+    """'3,5-7' as ranges (low, high); a reversed range is none; anything else raises."""
     parts = F.split(F.lit(selector) if isinstance(selector, str) else selector, ",")
     ends = lambda p: F.split(T.strip(p), "-")
     low = lambda p: T.strip(F.get(ends(p), F.lit(0))).cast("int")
     high = lambda p: T.strip(F.coalesce(F.get(ends(p), F.lit(1)), F.get(ends(p), F.lit(0)))).cast("int")
-    pages = F.transform(parts, lambda p: F.when(low(p) <= high(p), F.sequence(low(p), high(p))).otherwise(F.array().cast("array<int>")))
-    return F.array_distinct(F.flatten(pages))
+    return F.filter(F.transform(parts, lambda p: F.struct(low(p).alias("low"), high(p).alias("high"))), lambda r: r["low"] <= r["high"])
+
+
+def page_set(selector: str | Column) -> Column:
+    """'3,5-7' as an array of pages, for selectors that are known to be short."""
+    return F.array_distinct(F.flatten(F.transform(page_ranges(selector), lambda r: F.sequence(r["low"], r["high"]))))
 
 
 def on_pages(nodes: DataFrame, selector: str) -> DataFrame:
-    """Nodes with text on a page of the selector; a node without pages is on page 0."""
+    """Nodes with text on a page of the selector; a node without pages is on page 0. Ranges are compared
+    by their bounds, however long they are."""
     first, last = F.coalesce("start_index", F.lit(0)), F.coalesce("end_index", F.lit(0))
-    hit = F.exists(page_set(selector), lambda p: p.between(first, last))
+    hit = F.exists(page_ranges(selector), lambda r: (r["low"] <= last) & (first <= r["high"]) & (first <= last))
     return nodes.filter(F.coalesce(F.length("text"), F.lit(0)) > 0).filter(hit)
 
 
@@ -44,10 +52,11 @@ def recent_documents(listing: DataFrame, nodes: DataFrame, page: int = 1, size:
     """A page of the listing with total and node counts (distinct ids; none for flat documents). Order:
     newest first, or by key. Page 0 is empty."""
     by = [F.desc("processed_at"), F.col("key")] if order == "newest" else [F.col("key")]
-    counts = nodes.groupBy("doc_id").agg(F.count_distinct("node_id").alias("node_count"))
     total = listing.agg(F.count("*").alias("total"))
-    # The page is cut before the counts are joined: its rows are at most `size`.
+    # The page is cut first, and only nodes of its `size` documents are counted.
     cut = listing.orderBy(*by).offset(max(0, (page - 1) * size)).limit(size if page >= 1 else 0)
+    own = nodes.join(F.broadcast(cut.select("doc_id")), "doc_id", "left_semi")
+    counts = own.groupBy("doc_id").agg(F.count_distinct("node_id").alias("node_count"))
     return (
         cut.join(counts, "doc_id", "left")
         .crossJoin(F.broadcast(total))
@@ -63,6 +72,13 @@ def get_document(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.count_distinct("node_id").alias("total_nodes"), F.sort_array(top).alias("top_level_sections"))
 
 
+def get_flat_document(flats: DataFrame) -> DataFrame:
+    """flats: doc_id, blocks. A flat document has blocks instead of sections: their number, their roles in order, its class."""
+    from leafmill.operators.flat import content_class
+
+    return flats.select("doc_id", F.size("blocks").alias("total_blocks"), F.transform("blocks", lambda b: b["role"]).alias("roles"), content_class(F.col("blocks")).alias("content_class"))
+
+
 def get_page_content(nodes: DataFrame, doc_id: object, pages: str) -> DataFrame:
     hits = on_pages(nodes.filter(F.col("doc_id") == F.lit(doc_id)), pages)
     return hits.orderBy("ord").select("node_id", "title", "start_index", "end_index", "text")
@@ -70,8 +86,8 @@ def get_page_content(nodes: DataFrame, doc_id: object, pages: str) -> DataFrame:
 
 # -- relevance --------------------------------------------------------------------------------------
 
-#: Picks documents or nodes: given candidates with a text column and the query, an order of preference.
-Selector = Callable[[DataFrame, str], DataFrame]
+#: A model: from a prompt to an answer that holds a JSON list of ids. It may fail.
+Model = Callable[[str], str]
 
 
 def lexical_score(text: Column, query: str) -> Column:
@@ -115,6 +131,50 @@ def assemble(parts: DataFrame) -> DataFrame:
     )
 
 
+def model_picks(prompts: DataFrame, client: Model) -> DataFrame:
+    """prompts: key, prompt. The ids of each answer in its order: key, pos, picked; error rows have a
+    null pos. An answer that can't be read, or a failing call, is a row of its own, never a failing job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for key, prompt in zip(b["key"], b["prompt"], strict=True):
+                try:
+                    said = re.sub(r"^```[a-zA-Z]*\s*|\s*```$", "", client(prompt).strip())
+                    ids = json.loads(said)
+                    ids = ids.get("ids", []) if isinstance(ids, dict) else ids
+                    rows += [(key, k, str(x), None) for k, x in enumerate(ids)] or [(key, None, None, "no ids")]
+                except Exception as e:  # one document's answer is not worth the search
+                    rows.append((key, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "pos", "picked", "error"])
+
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt").mapInPandas(run, "key string, pos int, picked string, error string")
+
+
+def search_by_model(docs: DataFrame, nodes: DataFrame, flats: DataFrame, query: str, client: Model, batch: int = 50) -> DataFrame:
+    """Search with a model's choices: doc_id, doc_name, pos, content, error.
+
+    The model sees names and summaries in batches and picks documents; if no pick exists, all are taken.
+    For each picked tree it sees the titles of the nodes and picks some; flat documents come whole. A
+    document whose call fails is a row with its error and without content, and the others stay.
+    """
+    q = query.translate(str.maketrans(T.DASHES, "-" * len(T.DASHES)))
+    lines = docs.select(F.pmod(F.xxhash64("doc_id"), F.ceil(F.lit(docs.count()) / batch)).alias("key"), F.struct("doc_id", "doc_name", "summary").alias("d"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("d")), lambda d: F.concat_ws("\t", d["doc_id"].cast("string"), d["doc_name"], d["summary"])), "\n")
+    asked = lines.groupBy("key").agg(F.concat(F.lit(f"documents for: {q}\n"), listed).alias("prompt"))
+    answers = model_picks(asked, client).filter("pos IS NOT NULL")
+    picks = answers.select(F.col("picked").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "pos")
+    chosen = pick_in_order(docs.select("doc_id", "doc_name"), picks).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    trees = nodes.join(chosen, "doc_id").join(flats.select("doc_id"), "doc_id", "left_anti")
+    titles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "node_id", "title"))), lambda n: F.concat_ws("\t", n["node_id"], n["title"])), "\n")
+    answers = model_picks(trees.groupBy(F.col("doc_id").alias("key")).agg(F.concat(F.lit(f"nodes for: {q}\n"), titles).alias("prompt")), client)
+    of = F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    texts = texts_of_picks(nodes, answers.filter("pos IS NOT NULL").select(of, "pos", F.col("picked").alias("node_id")))
+    failed = answers.filter("pos IS NULL").select(of, F.lit(None).cast("string").alias("content"), "error")
+    found = texts.unionByName(flats.join(chosen, "doc_id", "left_semi").select("doc_id", "content")).withColumn("error", F.lit(None).cast("string"))
+    return chosen.join(found.unionByName(failed), "doc_id").select("doc_id", "doc_name", "pos", "content", "error")
+
+
 def search(docs: DataFrame, nodes: DataFrame, flats: DataFrame, query: str, top_docs: int = 5, top_nodes: int = 5) -> DataFrame:
     """docs: doc_id, doc_name, summary. Prefilter by the summary, nodes by title and text, flat
     documents by their whole text: doc_id, doc_name, pos, content. The texts are read in the last join

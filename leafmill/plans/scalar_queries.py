@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions import models
 from leafmill.functions import text as T
 from leafmill.operators import flat, levels, split
 from leafmill.plans.registry import query
@@ -96,7 +97,7 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("id", T.numbering_depth(F.col("title")).alias("depth"))
 
 
-@query("str_08_fold", "titles")
+@query("str_08_fold", "titles", "SELECT id, replace(title, '‑', '‐') AS folded FROM {titles}")
 def _(t: DataFrame) -> DataFrame:
     return t.select("id", split.folded("title").alias("folded"))
 
@@ -180,7 +181,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("flt_09_frontmatter", "documents", r"""
 SELECT doc_id, length(x) > 0 AND len(regexp_extract_all(x, '[.․…]{4,}')) >= length(x) / 1000.0 AND o < 0.1 * (length(x) / 1000.0) AND regexp_matches(x, '[A-Za-z]{20,}') AS frontmatter
-FROM (SELECT doc_id, left(text, 300) || CASE WHEN doc_id % 2 = 0 THEN ' ....... 12 Bibliographicalreferences' ELSE '' END AS x, len(regexp_extract_all(left(text, 300), '§')) AS o FROM {documents})""")
+FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' ....... 12 Bibliographicalreferences' ELSE '' END AS x, len(regexp_extract_all(text, '§')) AS o FROM {documents})""")
 def _(t: DataFrame) -> DataFrame:
     x = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " ....... 12 Bibliographicalreferences").otherwise(""))
     return t.select("doc_id", T.frontmatter(x, T.count(F.col("text"), "§")).alias("frontmatter"))
@@ -188,17 +189,14 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("flt_12_headroom", "events", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN true ELSE value >= 50 END AS go FROM {events}")
 def _(t: DataFrame) -> DataFrame:
-    available = F.when(F.col("event_id") % 5 != 0, F.col("value"))
-    return t.select("event_id", F.coalesce(available >= 50, F.lit(True)).alias("go"))
+    return t.select("event_id", models.headroom(F.when(F.col("event_id") % 5 != 0, F.col("value")), F.lit(50)).alias("go"))
 
 
 # -- sets, arrays, maps, times -------------------------------------------------------------------------
-@query("set_01_suffix_union", (), "SELECT '.docx|.html|.jpeg|.jpg|.markdown|.md|.pdf|.png|.pptx|.tif|.tiff|.txt|.xlsx' AS suffixes")
-def _() -> DataFrame:
-    from pyspark.sql import SparkSession
-
-    a, b = F.array(*map(F.lit, store.BATCH_SUFFIXES)), F.array(*map(F.lit, store.SUFFIXES))
-    return SparkSession.getActiveSession().range(1).select(join(F.array_sort(F.array_union(a, b))).alias("suffixes"))
+@query("set_01_suffix_union", "documents", "SELECT doc_id, array_to_string(list_sort(list_distinct(" + str(list(store.BATCH_SUFFIXES)) + " || ['.' || lang, '.md'])), '|') AS suffixes FROM {documents}")
+def _(t: DataFrame) -> DataFrame:
+    own = F.array(F.concat(F.lit("."), F.col("lang")), F.lit(".md"))
+    return t.select("doc_id", join(store.suffix_union(F.array(*map(F.lit, store.BATCH_SUFFIXES)), own)).alias("suffixes"))
 
 
 @query("set_03_ordered_union", "documents", "SELECT doc_id, CASE lang WHEN 'de' THEN 'deu|eng' WHEN 'en' THEN 'eng' ELSE lang || '|deu|eng' END AS langs FROM {documents}")
@@ -222,7 +220,9 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("filename").dropDuplicates()
 
 
-@query("arr_01_prefixes", "titles")
+@query("arr_01_prefixes", "titles", "WITH " + LABELS.strip() + """
+SELECT id, array_to_string(list_slice(label, 1, len(label) - 1), '|') AS prefix, len(list_filter(list_slice(label, 2, len(label)), lambda a: NOT regexp_matches(a, '^[0-9]+$'))) = 0 AS digits
+FROM labeled WHERE len(label) > 1""")
 def _(t: DataFrame) -> DataFrame:
     lab = t.select("id", T.label(F.col("title")).alias("label")).filter(F.size("label") > 1)
     tail = F.slice("label", F.lit(2), F.size("label") - 1)
@@ -249,11 +249,11 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("jsn_02_lenient_json", "titles", """
-SELECT id, CASE WHEN id % 4 = 0 THEN 'all' ELSE CAST(id AS VARCHAR) END AS prefilter, CASE WHEN id % 4 = 0 THEN 0 ELSE 1 END AS n_nodes FROM {titles}""")
+SELECT id, CASE WHEN id % 4 = 0 THEN 'all' ELSE CAST(id AS VARCHAR) END AS prefilter, id % 4 > 0 AS readable FROM {titles}""")
 def _(t: DataFrame) -> DataFrame:
     said = F.when(F.col("id") % 4 == 0, F.lit("not json")).otherwise(F.concat(F.lit('```json\n{"ids": ["'), F.col("id").cast("string"), F.lit('"]}\n```')))
-    ids = F.from_json(T.without_fences(said), "ids array<string>", {"mode": "PERMISSIVE"})["ids"]
-    return t.select("id", F.coalesce(F.get(ids, F.lit(0)), F.lit("all")).alias("prefilter"), F.size(F.coalesce(ids, F.array().cast("array<string>"))).alias("n_nodes"))
+    ids = T.model_ids(said, "ids")
+    return t.select("id", F.coalesce(F.get_json_object(ids, "$[0]"), F.lit("all")).alias("prefilter"), ids.isNotNull().alias("readable"))
 
 
 @query("hsh_01_sha256", "documents", "SELECT doc_id, sha256(text) AS sha256 FROM {documents}")
@@ -285,7 +285,9 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", T.count(F.col("text"), T.ARABIC).cast("long").alias("arabic"), T.count(F.col("text"), T.LATIN).cast("long").alias("latin"))
 
 
-@query("win_08_greedy_gap", "orders")
+@query("win_08_greedy_gap", "orders", """
+WITH spots AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS found FROM {orders} GROUP BY 1)
+SELECT o_custkey, array_to_string(list_reduce(list_transform(found, lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[len(kept)] >= 500 THEN kept || x ELSE kept END), '|') AS kept FROM spots""")
 def _(t: DataFrame) -> DataFrame:
     spots = t.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.col("o_orderkey").cast("int"))).alias("at"))
     return spots.select("o_custkey", join(split.greedy_gap_column(F.col("at"), 500).cast("array<string>")).alias("kept"))
@@ -298,7 +300,13 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("id", levels.relevel_by_numbering(F.concat(F.lit("#### "), F.trim("title"))).alias("line"))
 
 
-@query("src_02_supported", "objects", r"SELECT key, lower(regexp_extract(key, '(\.[^./]+)$', 1)) IN ('.md', '.txt', '.pdf') AS ok FROM {objects}")
-def _(t: DataFrame) -> DataFrame:
-    return store.supported(t, "key").select("key", "ok")
+NAMED = "'f' || CAST(doc_id AS VARCHAR) || ['.md', '.PDF', '.xyz', '', '.tar.Html'][CAST(doc_id % 5 AS INT) + 1]"
+OK_LIST = ", ".join(f"'{x}'" for x in sorted(store.SUFFIXES))
 
+
+@query("src_02_supported", "documents", f"""
+SELECT name, ext, ext IN ({OK_LIST}) AS ok, CASE WHEN ext NOT IN ({OK_LIST}) THEN 'unsupported suffix ' || ext || '; supported: {", ".join(sorted(store.SUFFIXES))}' END AS error
+FROM (SELECT {NAMED} AS name, lower(regexp_extract({NAMED}, '(\\.[^.]+)$', 1)) AS ext FROM {{documents}})""")
+def _(t: DataFrame) -> DataFrame:
+    ends = F.array(*map(F.lit, (".md", ".PDF", ".xyz", "", ".tar.Html")))
+    return store.supported(t.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("name")), "name")
\ No newline at end of file

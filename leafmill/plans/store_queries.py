@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import flat, nodes, stats
+from leafmill.operators import flat, gate, levels, nodes, outline, stats
 from leafmill.plans import retrieve
 from leafmill.plans.registry import query
 from leafmill.plans.scalar_queries import join
-from leafmill.plans.tree_queries import GEO, geo, tables
+from leafmill.plans.tree_queries import BROKEN, GEO, MERGED, ROWS, SECTIONS, VERDICT, geo, outline_parts, pair, tables
 from leafmill.sources import adapters, store
 from leafmill.streaming import jobs
 
@@ -26,18 +26,19 @@ def artifacts(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cache, trees, flats
 
 
-@query("src_04_load_document", "documents", "SELECT doc_id, NULL::VARCHAR AS error, left(text, 20) AS body FROM {documents} WHERE doc_id = 6")
+@query("src_04_load_document", "documents", "SELECT doc_id, NULL::VARCHAR AS error, text AS body FROM {documents} WHERE doc_id = 6")
 def _(d: DataFrame) -> DataFrame:
     return store.load(artifacts(d)[1], 6).select("doc_id", "error", "body")
 
 
-@query("src_05_missing_document", "documents", "SELECT NULL::BIGINT AS doc_id, 'Document not found: -5' AS error")
+@query("src_05_missing_document", "documents", "SELECT doc_id, CASE WHEN doc_id IS NULL THEN 'Document not found: -5' END AS error FROM (SELECT doc_id FROM {documents} WHERE doc_id = 4 UNION ALL SELECT NULL)")
 def _(d: DataFrame) -> DataFrame:
-    return store.load(artifacts(d)[2], -5).select("doc_id", "error")
+    flats = artifacts(d)[2]
+    return store.load(flats, -5).unionByName(store.load(flats, 4)).select("doc_id", "error")
 
 
 @query("src_06_read_through", "documents", """
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'cached ' || lang ELSE left(text, 20) END AS body, CASE WHEN doc_id % 5 = 0 THEN 'cache' WHEN doc_id % 3 = 0 THEN 'tree' ELSE 'flat' END AS origin
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'cached ' || lang ELSE text END AS body, CASE WHEN doc_id % 5 = 0 THEN 'cache' WHEN doc_id % 3 = 0 THEN 'tree' ELSE 'flat' END AS origin
 FROM {documents} WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0""")
 def _(d: DataFrame) -> DataFrame:
     return store.read_through(*artifacts(d))
@@ -60,7 +61,7 @@ def _(o: DataFrame) -> DataFrame:
     return store.list_documents(o)
 
 
-@query("join_12_priority", "objects", LISTING.replace("SELECT doc_id, coalesce(doc_name, filename, doc_id) AS doc_name, coalesce(source_url, '') AS source_url, coalesce(processed_at, '') AS processed_at, content_class, key", "SELECT doc_id, key"))
+@query("join_12_priority", "objects", "SELECT doc_id, key FROM (" + LISTING + ")")
 def _(o: DataFrame) -> DataFrame:
     return store.list_documents(o).select("doc_id", "key")
 
@@ -95,7 +96,7 @@ def _(u: DataFrame) -> DataFrame:
 
 
 @query("snk_05_upsert", "uploads", """
-SELECT filename, max(CASE WHEN doc_id % 2 = 0 THEN sha256(text) END) AS newest, max(sha256(text)) AS old FROM {uploads} GROUP BY 1""".replace("max(CASE WHEN doc_id % 2 = 0 THEN sha256(text) END) AS newest, max(sha256(text)) AS old", "coalesce(max(CASE WHEN doc_id % 2 = 0 THEN sha256(text) END), max(sha256(text))) AS sha256"))
+SELECT filename, coalesce(max(CASE WHEN doc_id % 2 = 0 THEN sha256(text) END), max(sha256(text))) AS sha256 FROM {uploads} GROUP BY 1""")
 def _(u: DataFrame) -> DataFrame:
     h = lambda x: x.groupBy("filename").agg(F.max(F.sha2("text", 256)).alias("sha256"))
     return store.upsert(h(u), h(u.filter("doc_id % 2 = 0")), "filename")
@@ -179,10 +180,10 @@ def _(t: DataFrame) -> DataFrame:
     return retrieve.invented(t, picks_of(t)).select("doc_id", "node_id", "pos")
 
 
-@query("join_09_zip_rows", "wide_tables", "SELECT doc_id, n1 || '|' || v1 || '|' || v2 || '|' || v3 AS data FROM {wide_tables}")
+@query("join_09_zip_rows", "wide_tables", f"SELECT doc_id, 2 AS n_rows, data FROM (SELECT doc_id, {MERGED} FROM {{wide_tables}})")
 def _(t: DataFrame) -> DataFrame:
-    z = F.zip_with(F.expr("array(array(n1, v1))"), F.expr("array(array(v2, v3))"), lambda a, b: F.concat(a, b))
-    return t.select("doc_id", join(F.get(z, F.lit(0))).alias("data"))
+    m = pair(t).select("doc_id", flat.merge_tables(F.col("a"), F.col("b"))["rows"].alias("rows"))
+    return m.select("doc_id", F.size("rows").alias("n_rows"), join(F.get("rows", F.lit(1))).alias("data"))
 
 
 @query("join_10_left_anti", "uploads", "SELECT DISTINCT filename FROM {uploads} EXCEPT SELECT filename FROM {uploads} WHERE doc_id % 6 = 0")
@@ -191,13 +192,11 @@ def _(u: DataFrame) -> DataFrame:
 
 
 @query("join_11_suffix_match", ("outline", "outline_heads"), """
-WITH t AS (SELECT doc_id, i, page, regexp_replace(lower(right(title, 12)), '[^a-z0-9]', '', 'g') AS k FROM {outline}), h AS (SELECT doc_id, ord, page, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM {outline_heads})
-SELECT t.doc_id, t.i, min(h.ord) AS n FROM t JOIN h ON t.doc_id = h.doc_id AND t.page = h.page WHERE length(t.k) >= 5 AND (suffix(h.k, right(t.k, 5))) GROUP BY ALL""")
+WITH t AS (SELECT doc_id, i, page, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM {outline}), h AS (SELECT doc_id, page, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM {outline_heads})
+SELECT doc_id, count(*) AS entries, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.doc_id = t.doc_id AND h.page = t.page AND (h.k = t.k OR (least(length(h.k), length(t.k)) >= 5 AND (suffix(h.k, t.k) OR suffix(t.k, h.k)))))) AS matched FROM t GROUP BY 1""")
 def _(o: DataFrame, h: DataFrame) -> DataFrame:
-    t = o.select("doc_id", "i", "page", T.title_key(F.expr("right(title, 12)")).alias("k"))
-    x = h.select("doc_id", "ord", "page", T.title_key(F.col("title")).alias("hk"))
-    m = t.join(x, ["doc_id", "page"]).filter((F.length("k") >= 5) & F.endswith("hk", F.expr("right(k, 5)")))
-    return m.groupBy("doc_id", "i").agg(F.min("ord").alias("n"))
+    m = outline.match_outline(o, h.select("doc_id", "ord", F.col("title").alias("text"), "page"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("entries"), F.count("ord").alias("matched"))
 
 
 @query("join_13_fallback_chain", "documents", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS source FROM {documents} WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0")
@@ -209,19 +208,22 @@ def _(d: DataFrame) -> DataFrame:
 @query("join_14_next_not_deeper", "outline", """
 SELECT a.doc_id, a.i, arg_min(b.page, b.i) AS next_page FROM {outline} a LEFT JOIN {outline} b ON a.doc_id = b.doc_id AND b.i > a.i AND b.level <= a.level GROUP BY ALL""")
 def _(o: DataFrame) -> DataFrame:
-    following = Window.partitionBy("doc_id").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    nxt = {k: F.min(F.when(F.col("level") <= k, F.struct("i", "page"))).over(following)["page"] for k in (1, 2)}
-    return o.select("doc_id", "i", F.when(F.col("level") == 1, nxt[1]).otherwise(nxt[2]).alias("next_page"))
+    totals = o.select("doc_id").distinct().withColumn("total_pages", F.lit(1_000_000))
+    x = levels.outline_extents(o, totals)
+    return x.select("doc_id", "i", F.when(F.col("stop") <= 1_000_000, F.col("stop")).alias("next_page"))
 
 
-@query("win_04_consumption", "outline_heads", "SELECT doc_id, ord, CAST(row_number() OVER (PARTITION BY doc_id, title ORDER BY ord) AS INT) AS k FROM {outline_heads}")
+@query("win_04_consumption", "outline_heads", """
+SELECT doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key, CAST(row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') ORDER BY ord) AS INT) AS k, page FROM {outline_heads}""")
 def _(h: DataFrame) -> DataFrame:
-    return h.select("doc_id", "ord", F.row_number().over(Window.partitionBy("doc_id", "title").orderBy("ord")).alias("k"))
+    return outline.heading_pages(h.select("doc_id", "ord", F.lit(True).alias("is_heading"), F.col("title").alias("text"), "page"))
 
 
-@query("win_05_first_in_section", "outline_heads", "SELECT doc_id, page, min(ord) AS first FROM {outline_heads} GROUP BY ALL")
-def _(h: DataFrame) -> DataFrame:
-    return h.groupBy("doc_id", "page").agg(F.min("ord").alias("first"))
+@query("win_05_first_in_section", ("outline", "outline_heads"), "WITH " + SECTIONS.strip() + """
+SELECT doc_id, first, count(*) AS sections FROM (SELECT doc_id, i, min(ord) AS first FROM covers c WHERE NOT EXISTS (SELECT 1 FROM decided d WHERE d.doc_id = c.doc_id AND d.anchor_i = c.i) GROUP BY ALL) GROUP BY ALL""")
+def _(o: DataFrame, h: DataFrame) -> DataFrame:
+    inserts = levels.outline_levels(*outline_parts(o, h))[1]
+    return inserts.groupBy("doc_id", F.col("ord").alias("first")).agg(F.count("*").alias("sections"))
 
 
 @query("win_06_segment_end", "orders", "SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS stop FROM {orders}")
@@ -246,13 +248,15 @@ def _(p: DataFrame) -> DataFrame:
     return adapters.to_markdown(files).select("page_id", "ext", "converter", "convert_error", F.length("md").alias("chars"))
 
 
-@query("fmt_08_pipe_table", "order_lines", """
-SELECT doc_id, '| ' || string_agg(replace(trim(line, '| '), ' | ', ' \\| '), ' ; ' ORDER BY pos0, k) AS cells FROM {order_lines} WHERE pos0 = 2 GROUP BY 1""")
+@query("fmt_08_pipe_table", "order_lines", "WITH " + ROWS.strip() + """
+SELECT doc_id, '## Orders' || chr(10) || chr(10) || '| order | status | total |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || a || '\\|x | ' || b || ' | ' || z || ' |', chr(10) ORDER BY k) || chr(10) AS md
+FROM data GROUP BY 1""")
 def _(t: DataFrame) -> DataFrame:
-    own = F.trim(F.col("line"), F.lit("| "))
-    escaped = F.replace(own, F.lit(" | "), F.lit(" \\| "))
-    x = t.filter("pos0 = 2").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos0", "k", escaped.alias("c")))), lambda s: s["c"]).alias("cs"))
-    return x.select("doc_id", F.concat(F.lit("| "), F.array_join("cs", " ; ")).alias("cells"))
+    cells = T.pipe_cells(F.col("line"))
+    row = F.array(F.concat(F.get(cells, F.lit(0)), F.lit("|x")), F.get(cells, F.lit(1)), F.get(cells, F.lit(2)))
+    data = t.filter("pos0 = 2").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", row.alias("row")))), lambda s: s["row"]).alias("data"))
+    head, blank = F.array(*map(F.lit, ("order", "status", "total"))), F.array(F.lit(" "))
+    return data.select("doc_id", adapters.sheet_markdown(F.lit("Orders"), F.concat(F.array(head, blank), F.col("data"))).alias("md"))
 
 
 # -- aggregates and load tests -----------------------------------------------------------------------------
@@ -300,20 +304,28 @@ def _(s: DataFrame) -> DataFrame:
     return stats.recommended(stats.step_summary(s, 10.0), 9.0, 60_000.0)
 
 
-@query("agg_17_totals", "conversations", "SELECT conv_id, count(*) AS sections, (SELECT count(DISTINCT conv_id) FROM {conversations}) AS total FROM {conversations} GROUP BY 1")
-def _(c: DataFrame) -> DataFrame:
-    per = c.groupBy("conv_id").agg(F.count("*").alias("sections"))
-    return per.crossJoin(F.broadcast(per.agg(F.count("*").alias("total"))))
+@query("agg_17_totals", ("documents", "turn_nodes"), """
+SELECT (SELECT count(*) FROM {documents}) AS total, d.doc_id, coalesce(n, 0) AS node_count
+FROM (SELECT * FROM {documents} ORDER BY lpad(CAST(doc_id AS VARCHAR), 9, '0') LIMIT 40) d LEFT JOIN (SELECT doc_id, count(DISTINCT node_id) AS n FROM {turn_nodes} GROUP BY 1) USING (doc_id)""")
+def _(d: DataFrame, t: DataFrame) -> DataFrame:
+    return retrieve.recent_documents(listed(d), t, size=40, order="key").select("total", "doc_id", "node_count")
 
 
-@query("agg_18_context_chars", "turn_nodes", "SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS chars FROM {turn_nodes} GROUP BY 1")
+@query("agg_18_context_chars", "turn_nodes", "WITH " + PICKS + """
+, c AS (SELECT p.doc_id, string_agg(text, chr(10) || chr(10) ORDER BY p.pos, text) AS content FROM picks p JOIN {turn_nodes} t ON p.doc_id = t.doc_id AND p.node_id = t.node_id WHERE text <> '' GROUP BY 1)
+SELECT CAST(sum(length(content)) AS BIGINT) AS chars, count(*) AS sources FROM c""")
 def _(t: DataFrame) -> DataFrame:
-    return t.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    parts = retrieve.texts_of_picks(t, picks_of(t)).select(F.col("doc_id").alias("pos"), F.lit("d").alias("doc_name"), "content")
+    return retrieve.assemble(parts).select("chars", "sources")
 
 
-@query("agg_19_corpus_verdicts", "documents", "SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM {documents} GROUP BY CUBE (lang, source)")
-def _(d: DataFrame) -> DataFrame:
-    return d.cube("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+@query("agg_19_corpus_verdicts", "geo_broken", BROKEN + VERDICT + """
+, r AS (SELECT reason, CASE WHEN reason = '' THEN 'tree' WHEN reason = 'garbling' AND doc_id % 2 = 1 THEN 'retry' WHEN reason <> 'garbling' THEN 'flat' ELSE 'reject' END AS route FROM verdict)
+SELECT route, reason, count(*) AS docs FROM r GROUP BY CUBE (route, reason)""")
+def _(t: DataFrame) -> DataFrame:
+    d = geo(t)
+    v = gate.verdict(nodes.build_nodes(d), d).join(d, "doc_id")
+    return v.withColumn("route", gate.route(F.col("ok"), F.col("reason"), F.col("md"), F.col("doc_id") % 2 == 1)).cube("route", "reason").agg(F.count("*").alias("docs"))
 
 
 @query("obs_06_first_breach", "events", "SELECT event_id, CASE WHEN value >= 95 THEN 'cpu' WHEN value % 10 >= 9 THEN 'memory' WHEN event_id % 7 >= 6 THEN 'error_rate' WHEN event_id % 11 >= 10 THEN 'p99' END AS breach FROM {events}")
@@ -364,7 +376,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("flt_10_flat_route", "objects", "SELECT key, content_class IS NOT NULL AND kind <> 'tree' AS flat FROM {objects}")
 def _(o: DataFrame) -> DataFrame:
-    return o.select("key", (F.col("content_class").isNotNull() & (F.col("kind") != "tree")).alias("flat"))
+    return o.select("key", store.is_flat(o).alias("flat"))
 
 
 def listed(d: DataFrame) -> DataFrame:
@@ -378,9 +390,11 @@ def _(d: DataFrame, t: DataFrame) -> DataFrame:
     return retrieve.recent_documents(listed(d), t, page=2, size=25)
 
 
-@query("srt_01_page_zero", ("documents", "turn_nodes"), "SELECT doc_id FROM {documents} WHERE false")
+@query("srt_01_page_zero", ("documents", "turn_nodes"), "SELECT page, doc_id FROM (SELECT 1 AS page, doc_id FROM {documents} ORDER BY n_chars DESC, lpad(CAST(doc_id AS VARCHAR), 9, '0') LIMIT 3)")
 def _(d: DataFrame, t: DataFrame) -> DataFrame:
-    return retrieve.recent_documents(listed(d), t, page=0).select("doc_id")
+    """Page 0 and a page behind the last are empty, page 1 isn't."""
+    pages = [retrieve.recent_documents(listed(d), t, page=k, size=3).select("page", "doc_id") for k in (0, 1, 1_000_000)]
+    return pages[0].union(pages[1]).union(pages[2])
 
 
 @query("srt_02_key_order", ("documents", "turn_nodes"), "SELECT doc_id FROM {documents} ORDER BY lpad(CAST(doc_id AS VARCHAR), 9, '0') LIMIT 10")
@@ -388,9 +402,10 @@ def _(d: DataFrame, t: DataFrame) -> DataFrame:
     return retrieve.recent_documents(listed(d), t, order="key").select("doc_id")
 
 
-@query("srt_03_deepest_first", "outline", "SELECT doc_id, page, max(level) AS level, arg_max(i, level * 100000000 - i) AS i FROM {outline} GROUP BY ALL")
-def _(o: DataFrame) -> DataFrame:
-    return o.groupBy("doc_id", "page").agg(F.max("level").alias("level"), F.max_by("i", F.struct("level", -F.col("i"))).alias("i"))
+@query("srt_03_deepest_first", ("outline", "outline_heads"), "WITH " + SECTIONS.strip() + """
+SELECT h.doc_id, CAST(coalesce(anchor, CASE WHEN deepest IS NOT NULL THEN greatest(1, least(6, deepest + 1)) END) AS INT) AS new_level, count(*) AS heads FROM heads h LEFT JOIN decided d ON h.doc_id = d.doc_id AND h.ord = d.ord GROUP BY ALL""")
+def _(o: DataFrame, h: DataFrame) -> DataFrame:
+    return levels.outline_levels(*outline_parts(o, h))[0].groupBy("doc_id", F.col("new_level").cast("int").alias("new_level")).agg(F.count("*").alias("heads"))
 
 
 @query("srt_05_truncation", "documents", "SELECT doc_id, left(text, 120) AS title, right(text, 2000) AS tail FROM {documents}")
@@ -408,10 +423,14 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("ret_04_structure", "geo_lines", GEO + """
-SELECT doc_id, CAST(sum(length('{"title":"","node_id":"","nodes":[]}') + length(title) + length(node_id)) + count(*) + 1 AS BIGINT) AS chars FROM tree GROUP BY 1""".replace("+ count(*) + 1", "+ count(*) - count(DISTINCT coalesce(parent_ord, 0)) + 2"))
+, l3 AS (SELECT doc_id, parent_ord, string_agg('{"title":"' || title || '","node_id":"' || node_id || '","nodes":[]}', ',' ORDER BY ord) AS nodes FROM tree WHERE depth = 3 GROUP BY ALL
+), l2 AS (SELECT t.doc_id, t.parent_ord, string_agg('{"title":"' || title || '","node_id":"' || node_id || '","nodes":[' || coalesce(nodes, '') || ']}', ',' ORDER BY ord) AS nodes
+  FROM tree t LEFT JOIN l3 ON t.doc_id = l3.doc_id AND t.ord = l3.parent_ord WHERE depth = 2 GROUP BY ALL
+), l1 AS (SELECT t.doc_id, string_agg('{"title":"' || title || '","node_id":"' || node_id || '","nodes":[' || coalesce(nodes, '') || ']}', ',' ORDER BY ord) AS nodes
+  FROM tree t LEFT JOIN l2 ON t.doc_id = l2.doc_id AND t.ord = l2.parent_ord WHERE depth = 1 GROUP BY ALL)
+SELECT doc_id, sha256('[' || nodes || ']') AS digest FROM l1""")
 def _(t: DataFrame) -> DataFrame:
-    n = nodes.build_nodes(geo(t))
-    return nodes.nested_json(n, 3).select("doc_id", F.length("structure").cast("long").alias("chars"))
+    return nodes.nested_json(nodes.build_nodes(geo(t)), 3).select("doc_id", F.sha2("structure", 256).alias("digest"))
 
 
 @query("ret_05_page_content", "turn_nodes", "SELECT node_id, title, start_index, end_index, text FROM {turn_nodes} WHERE doc_id = 6 AND " + ON_PAGES)
@@ -438,14 +457,46 @@ def _(t: DataFrame) -> DataFrame:
     return t.filter("ord = 0").select("doc_id", "text").unionByName(t.filter("ord < 2").select("doc_id", "text"))
 
 
-@query("ret_02_find_relevant", ("conversations", "turn_nodes", "documents"))
+def stand_in(prompt: str) -> str:
+    """In place of a model: documents whose id is divisible by 3, nodes with even numbers; it fails on every fifth number of lines."""
+    head, *rows = prompt.split("\n")
+    first = [r.split("\t")[0] for r in rows]
+    if head.startswith("documents"):
+        return '{"ids": [' + ", ".join(x for x in first if int(x) % 3 == 0) + "]}"
+    if len(first) % 5 == 0:
+        raise ValueError("down")
+    return "```json\n[" + ", ".join(f'"{x}"' for x in first if int(x[1:]) % 2 == 0) + "]\n```"
+
+
+def library(c: DataFrame, t: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations have even ids, flat documents odd ones, so neither comes first by its id alone."""
+    talks = c.select((F.col("conv_id") * 2).alias("doc_id"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("doc_name"), F.lit("talk").alias("summary")).distinct()
+    files = d.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"), F.col("lang").alias("summary"))
+    flats = d.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.coalesce("text", F.lit("")).alias("content"))
+    return talks.unionByName(files), t.withColumn("doc_id", F.col("doc_id") * 2), flats
+
+
+LIBRARY = """
+WITH lib AS (SELECT DISTINCT conv_id * 2 AS doc_id, 'conv' || CAST(conv_id AS VARCHAR) AS doc_name FROM {conversations} UNION ALL SELECT doc_id * 2 + 1, 'doc' || CAST(doc_id AS VARCHAR) FROM {documents}
+), asked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, node_id, title) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM {turn_nodes}
+), picked AS (SELECT doc_id, pos, node_id FROM asked WHERE n % 5 > 0 AND ord % 2 = 0
+), texts AS (SELECT p.doc_id * 2 AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY p.pos, text) AS content FROM picked p JOIN {turn_nodes} t ON p.doc_id = t.doc_id AND p.node_id = t.node_id WHERE text <> '' GROUP BY 1
+), found AS (SELECT doc_id, content, NULL AS error FROM texts UNION ALL SELECT doc_id * 2 + 1, coalesce(text, ''), NULL FROM {documents}
+  UNION ALL SELECT DISTINCT doc_id * 2, NULL, 'ValueError: down' FROM asked WHERE n % 5 = 0
+  UNION ALL SELECT DISTINCT doc_id * 2, NULL, 'no ids' FROM asked WHERE n % 5 > 0 AND doc_id NOT IN (SELECT doc_id FROM picked))
+"""
+
+
+@query("ret_02_find_relevant", ("conversations", "turn_nodes", "documents"), LIBRARY + "SELECT doc_id, doc_name, sha256(content) AS digest, error FROM lib JOIN found USING (doc_id) WHERE doc_id % 3 = 0")
 def _(c: DataFrame, t: DataFrame, d: DataFrame) -> DataFrame:
-    # Conversations have even ids, flat documents odd ones, so neither comes first by its id alone.
-    talks = c.filter("turn = 0").select((F.col("conv_id") * 2).alias("doc_id"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("doc_name"), F.col("text").alias("summary"))
-    files = d.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"), F.col("text").alias("summary"))
-    docs, t = talks.unionByName(files), t.withColumn("doc_id", F.col("doc_id") * 2)
-    flats = files.select("doc_id", F.col("summary").alias("content"))
-    return retrieve.search(docs, t, flats, "the that of")
+    found = retrieve.search_by_model(*library(c, t, d), "the that of", stand_in)
+    return found.select("doc_id", "doc_name", F.sha2("content", 256).alias("digest"), "error")
+
+
+@query("ret_07_lexical", ("conversations", "turn_nodes", "documents"))
+def _(c: DataFrame, t: DataFrame, d: DataFrame) -> DataFrame:
+    """The default without a model: words in common."""
+    return retrieve.search(*library(c, t, d), "talk conv that of")
 
 
 @query("ret_00_ranked_documents", "geo_lines", GEO + """
@@ -453,8 +504,6 @@ def _(c: DataFrame, t: DataFrame, d: DataFrame) -> DataFrame:
 SELECT t.doc_id, CAST(count(*) AS INT) AS node_count, CAST(max(depth) AS INT) AS depth, CASE WHEN count(*) < 3 THEN 'node_count<3' WHEN max(depth) < 2 THEN 'depth<2' ELSE '' END AS reason, coalesce(max(matches), 0) AS matches
 FROM tree t LEFT JOIN hits USING (doc_id) GROUP BY 1""")
 def _(t: DataFrame) -> DataFrame:
-    from leafmill.operators import gate
-
     d = geo(t)
     n = nodes.build_nodes(d)
     hits = retrieve.keyword_hits(n, "building").groupBy("doc_id").agg(F.count("*").alias("matches"))
@@ -509,7 +558,7 @@ def _(j: DataFrame) -> DataFrame:
     return j.select("seq", (F.lit(400_000) - F.col("ts") > jobs.JOB_TIMEOUT_S + jobs.GRACE_S).alias("late"))
 
 
-@query("dtm_01_times", "job_log", "SELECT seq, strftime(to_timestamp(ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM {job_log}".replace("to_timestamp(ts)", "make_timestamp(ts * 1000000)"))
+@query("dtm_01_times", "job_log", "SELECT seq, strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM {job_log}")
 def _(j: DataFrame) -> DataFrame:
     return j.select("seq", F.concat(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("iso"))
 

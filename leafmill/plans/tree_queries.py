@@ -77,14 +77,14 @@ def _(t: DataFrame) -> DataFrame:
     return nodes.node_map(t.select("doc_id", node.alias("node_id"), "ord", "title"))
 
 
-@query("flt_02_without_text", "geo_lines", GEO + " SELECT doc_id, node_id, ord, parent_ord, level, depth, title FROM tree WHERE ord < 10000")
+@query("flt_02_without_text", "geo_lines", GEO + " SELECT doc_id, node_id, ord, parent_ord, level, depth, title FROM tree")
 def _(t: DataFrame) -> DataFrame:
     return nodes.without_text(nodes.build_nodes(geo(t)))
 
 
 @query("tree_01_relevel", "geo_lines", r"""
-SELECT doc_id, string_agg(CASE WHEN k2 > 0 THEN regexp_replace(line, '^##', '') WHEN k1 > 0 THEN substr(line, 2) ELSE substr(line, 3) END, chr(10) ORDER BY k1, k2) AS md
-FROM {geo_lines} WHERE k1 > 0 GROUP BY 1""".replace("WHEN k2 > 0 THEN regexp_replace(line, '^##', '')", "WHEN k2 > 0 THEN substr(line, 2)"))
+SELECT doc_id, string_agg(substr(line, 2), chr(10) ORDER BY k1, k2) AS md
+FROM {geo_lines} WHERE k1 > 0 GROUP BY 1""")
 def _(t: DataFrame) -> DataFrame:
     return geo(t.filter("k1 > 0")).select("doc_id", levels.relevel(F.col("md")).alias("md"))
 
@@ -352,8 +352,8 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("win_09_prose_blocks", "documents", r"""
-SELECT doc_id, CASE WHEN regexp_replace(text, '\s', '', 'g') = '' THEN NULL ELSE trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')) END AS prose
-FROM {documents} WHERE NOT regexp_matches(text, '(^|\n)\s*([0-9]|#|$|\n)') AND NOT contains(text, '|')""".replace("list_transform(string_split(text, chr(10)), lambda x: trim(x))", "string_split(text, chr(10))"))
+SELECT doc_id, CASE WHEN regexp_replace(text, '\s', '', 'g') = '' THEN NULL ELSE trim(replace(text, chr(10), ' ')) END AS prose
+FROM {documents} WHERE NOT regexp_matches(text, '(^|\n)\s*([0-9]|#|$|\n)') AND NOT contains(text, '|')""")
 def _(t: DataFrame) -> DataFrame:
     own = t.filter(~F.col("text").rlike("(^|\\n)\\s*([0-9]|#|$|\\n)") & ~F.col("text").contains("|"))
     b = flat.blocks(own.select("doc_id", F.col("text").alias("md")))
@@ -376,7 +376,7 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("tree_17_reassembled", "documents", """
-SELECT doc_id - doc_id % 40 AS doc_id, sha256(string_agg('Article (' || CAST(doc_id % 40 + 1 AS VARCHAR) || ') ' || left(text, 300) || CASE WHEN doc_id % 7 = 3 THEN ' see Article 2' ELSE '' END, chr(10) ORDER BY doc_id)) AS digest
+SELECT doc_id - doc_id % 40 AS doc_id, sha256(string_agg('Article (' || CAST(doc_id % 40 + 1 AS VARCHAR) || ') ' || text || CASE WHEN doc_id % 7 = 3 THEN ' see Article 2' ELSE '' END, chr(10) ORDER BY doc_id)) AS digest
 FROM {documents} GROUP BY 1""")
 def _(t: DataFrame) -> DataFrame:
     leaves = legal(t).select("doc_id", F.lit("0001").alias("node_id"), "text")

@@ -7,6 +7,7 @@ from bytes to markdown. The first registered converter that succeeds wins.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -94,21 +95,42 @@ def html_to_markdown(content: bytes, describe: Callable[[str], str] = lambda src
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith("  *") else x.strip() for x in lines)).strip().translate(DASH_TABLE)
 
 
+def _value(e: ElementTree.Element, name: str) -> str:
+    return next((v for k, v in e.attrib.items() if _local(k) == name), "")
+
+
+def _related(z: zipfile.ZipFile, folder: str, part: str) -> dict[str, str]:
+    """Relationship id to file, for a part of a package."""
+    name = f"{folder}/_rels/{part}.rels"
+    if name not in z.namelist():
+        return {}
+    return {e.attrib["Id"]: posixpath.normpath(posixpath.join("/" + folder, e.attrib["Target"])).lstrip("/") for e in ElementTree.fromstring(z.read(name))}
+
+
 def docx_to_markdown(content: bytes) -> str:
+    """Paragraphs of the body, outside tables; a heading is known by the name of its style, whatever
+    language its id is in."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
+        styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else []
+    names = {_value(e, "styleId"): next((_value(n, "val") for n in e if _local(n.tag) == "name"), "") for e in styles if _local(e.tag) == "style"}
+    body = next((e for e in root if _local(e.tag) == "body"), root)
     lines = []
-    for p in (e for e in root.iter() if _local(e.tag) == "p"):
-        style = next((v for e in p.iter() if _local(e.tag) == "pStyle" for k, v in e.attrib.items() if _local(k) == "val"), "")
+    for p in (e for e in body if _local(e.tag) == "p"):
+        style = next((_value(e, "val") for e in p.iter() if _local(e.tag) == "pStyle"), "")
         text = "".join(e.text or "" for e in p.iter() if _local(e.tag) == "t").strip()
-        m = re.match(r"Heading\s?([1-6])", style)
+        m = re.match(r"heading\s?([1-6])", names.get(style) or style, re.IGNORECASE)
         lines.append(f"{'#' * int(m[1])} {text}" if m and text else text)
     return "\n".join(lines).translate(DASH_TABLE)
 
 
 def pptx_to_markdown(content: bytes) -> str:
+    """Slides in the order of the presentation, not of their files."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+        if "ppt/presentation.xml" in z.namelist() and (rels := _related(z, "ppt", "presentation.xml")):
+            listed = [e for e in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if _local(e.tag) == "sldId"]
+            names = [rels[r] for e in listed if (r := next((v for k, v in e.attrib.items() if k.endswith("}id")), "")) in rels] or names
         slides = [ElementTree.fromstring(z.read(n)) for n in names]
     out = []
     for k, slide in enumerate(slides, 1):
@@ -132,8 +154,13 @@ def xlsx_sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        titles = [e.attrib.get("name", "") for e in book.iter() if _local(e.tag) == "sheet"]
+        sheets = [e for e in book.iter() if _local(e.tag) == "sheet"]
+        titles = [e.attrib.get("name", "") for e in sheets]
         files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        rels = _related(z, "xl", "workbook.xml")
+        of = [rels.get(next((v for k, v in e.attrib.items() if k.endswith("}id")), "")) for e in sheets]
+        if all(f in names for f in of):
+            files = of
         roots = [ElementTree.fromstring(z.read(n)) for n in files]
     out = []
     for title, root in zip(titles, roots, strict=False):
@@ -167,6 +194,16 @@ def sheet_lines(title: str, rows: list[list[str]]) -> list[str]:
     return [f"## {title}", "", lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:], ""]
 
 
+def sheet_markdown(title: Column, rows: Column) -> Column:
+    """The pipe table of a sheet in a plan: rows of cells under a title."""
+
+    @F.pandas_udf(StringType())  # type: ignore[call-overload]
+    def run(titles: pd.Series, sheets: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(sheet_lines(t, [list(r) for r in x])) for t, x in zip(titles, sheets, strict=True)])
+
+    return run(title, rows)
+
+
 def xlsx_to_markdown(content: bytes) -> str:
     lines = [x for title, rows in xlsx_sheets(content) for x in sheet_lines(title, rows)]
     if not lines:

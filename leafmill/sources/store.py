@@ -44,6 +44,16 @@ def supported(names: DataFrame, column: str = "filename") -> DataFrame:
     return names.select("*", ext.alias("ext"), ok.alias("ok"), F.when(~ok, F.concat(F.lit("unsupported suffix "), ext, F.lit("; supported: "), known)).alias("error"))
 
 
+def suffix_union(a: Column, b: Column) -> Column:
+    """Suffixes of two lists, each once, sorted."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def is_flat(objects: DataFrame) -> Column:
+    """Whether an object belongs to a flat document: it has a class and isn't a tree."""
+    return F.col("content_class").isNotNull() & (F.col("kind") != "tree")
+
+
 def load(table: DataFrame, doc_id: str) -> DataFrame:
     """The rows of a document; a missing one is one row with an error. Only the key's rows are read."""
     own = table.filter(F.col("doc_id") == doc_id)
@@ -133,6 +143,23 @@ def save(df: DataFrame, store: str, name: str, version: int) -> str:
     return path
 
 
+def latest(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """The last version of a table that was written completely; versions that a writer left half done
+    lack the success mark and are passed over."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+    done = [int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"no version of {name} in {store}")
+    return spark.read.parquet(f"{store}/{name}/version={max(done)}")
+
+
+def invalidate(cache: DataFrame, written: DataFrame) -> DataFrame:
+    """The cache without the documents of a version that was just written."""
+    return cache.join(written.select("doc_id"), "doc_id", "left_anti")
+
+
 def staging_key(job_id: Column, filename: Column) -> Column:
     return F.concat(F.lit("uploads/staging/"), job_id, F.lit("/"), T.basename(filename))
 

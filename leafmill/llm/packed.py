@@ -60,7 +60,7 @@ def buckets_for(docs: DataFrame, text_col: str) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= UNKNOWN_BYTES:
         size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
-    return max(64, min(size // BUCKET_BYTES, MOST_BUCKETS)) | 1
+    return max(8, min(size // BUCKET_BYTES, MOST_BUCKETS)) | 1
 
 
 class Out:

@@ -48,6 +48,17 @@ def provider_model(model: Column, url: Column) -> Column:
     return F.when(own, F.regexp_replace(model, "^azure/", "")).otherwise(model)
 
 
+def provider(url: Column) -> Column:
+    """Whose endpoint it is."""
+    return F.when(F.lower(F.coalesce(url, F.lit(""))).contains(".azure.com"), "azure").otherwise("openai")
+
+
+def config_error(model: Column, url: Column, key: Column) -> Column:
+    """What keeps a configuration from starting, null if nothing does. Keys never show in it."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank(model), "no model").when(blank(key), F.concat(F.lit("no key for "), provider(url))).when((provider(url) == "azure") & blank(url), "no endpoint")
+
+
 def headroom(available: Column, floor: Column) -> Column:
     """Whether a call may start: enough memory is free, or nobody knows how much is."""
     return F.coalesce(available >= floor, F.lit(True))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Characters, words and patterns that results depend on.
 DASHES = "‐‑–—−"  # hyphen, non-breaking hyphen, en dash, em dash, minus
@@ -242,3 +243,18 @@ def clamp_level(x: Column) -> Column:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def mask(value: Column, kind: DataType, sentinel: str = "masked") -> Column:
+    """Every string inside a value of this type replaced, at any depth; numbers, truth values and nulls
+    stay, and so do the names of fields and keys."""
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), F.lit(sentinel))
+    if isinstance(kind, StructType):
+        inner = F.struct(*[mask(value[f.name], f.dataType, sentinel).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: mask(x, kind.elementType, sentinel))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: mask(x, kind.valueType, sentinel))
+    return value

@@ -7,6 +7,8 @@ still smaller levels. Levels are one to six, so five running maxima give the tre
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,9 @@ def nested_json(nodes: DataFrame, levels: int = 6) -> DataFrame:
         else:
             below = here.groupBy("doc_id").agg(F.concat(F.lit("["), ordered, F.lit("]")).alias("structure"))
     return below
+
+
+def summaries(nodes: DataFrame, summary: Callable[[Column], Column], least_words: int = 200) -> DataFrame:
+    """Adds summary: a short text is its own, a longer one is given to the model."""
+    long = F.regexp_count("text", F.lit("\\S+")) >= least_words
+    return nodes.withColumn("summary", F.when(long, summary(F.when(long, F.col("text")))).otherwise(F.col("text")))

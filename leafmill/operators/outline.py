@@ -31,3 +31,12 @@ def match_outline(toc: DataFrame, items: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
     tree = link(toc.select("doc_id", "i", T.clamp_level(F.col("level")).alias("level"), place.alias("ord"))).select("doc_id", "i", F.col("parent_ord").alias("parent"))
     return tree.join(best, ["doc_id", "i"], "left").select("doc_id", "i", "ord", "parent")
+
+
+def read_outline(entries: DataFrame) -> DataFrame:
+    """entries as a file holds them: doc_id, i, level and page from 0, title; a page that can't be resolved
+    is null. The outline in its order, counted from 1, unresolved pages as 0; documents with fewer
+    than two entries have none."""
+    whole = Window.partitionBy("doc_id")
+    page = F.coalesce(F.col("page") + 1, F.lit(0))
+    return entries.select("doc_id", "i", (F.col("level") + 1).alias("level"), "title", page.alias("page"), F.count("*").over(whole).alias("n")).filter("n >= 2").drop("n")

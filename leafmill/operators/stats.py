@@ -88,3 +88,15 @@ def exposition(counted: DataFrame, name: str, *labels: str) -> DataFrame:
     pairs = [F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in labels]
     body = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if labels else F.lit("")
     return counted.select(F.concat(F.lit(name), body, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def load_plan(draws: DataFrame, tools: tuple[str, ...], model_tool: str, instead: str, max_model_calls: int, first: int = 2, last: int = 50, step: int = 2) -> DataFrame:
+    """draws: request (order), stage (from 0). The requests of a load test: connections ramp up by stage,
+    tools take turns with equal weight, and of a stage's calls of the model only so many stay; the
+    others become calls of another tool."""
+    concurrency = F.least(F.lit(last), F.lit(first) + F.col("stage") * step)
+    drawn = F.element_at(F.array(*map(F.lit, tools)), (F.pmod(F.col("request"), F.lit(len(tools))) + 1).cast("int"))
+    # The k-th call of the model in its stage: tools take turns, so it follows from the place among that stage's calls.
+    nth = F.row_number().over(Window.partitionBy("stage", "drawn").orderBy("request"))
+    tool = F.when((F.col("drawn") == model_tool) & (nth > max_model_calls), instead).otherwise(F.col("drawn"))
+    return draws.withColumn("drawn", drawn).select("request", "stage", concurrency.alias("concurrency"), tool.alias("tool"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import models
+from leafmill.functions import access, models
 from leafmill.operators import flat, gate, levels, nodes, outline, split, stats
 from leafmill.plans import retrieve
 from leafmill.plans.registry import query
 from leafmill.plans.scalar_queries import join
+from leafmill.streaming import jobs
 from leafmill.plans.store_queries import LIBRARY, library, stand_in
 from leafmill.plans.tree_queries import BROKEN, CONTAIN, GEO, VERDICT, geo, legal, outline_parts, pair, tables, titled
 
@@ -172,4 +173,58 @@ def noted(t: DataFrame) -> DataFrame:
 @query("set_04_signals", "order_lines", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'table|prose' ELSE 'table' END AS signals, CASE WHEN doc_id % 2 = 1 THEN 'flat_mixed' ELSE 'flat_table' END AS content_class FROM {order_lines} GROUP BY 1")
 def _(t: DataFrame) -> DataFrame:
     b = flat.blocks(noted(t))
-    return b.select("doc_id", join(flat.signals(F.col("blocks"))).alias("signals"), flat.content_class(F.col("blocks")).alias("content_class"))
\ No newline at end of file
+    return b.select("doc_id", join(flat.signals(F.col("blocks"))).alias("signals"), flat.content_class(F.col("blocks")).alias("content_class"))
+
+
+@query("flt_11_access", "documents", """
+SELECT doc_id, CASE WHEN path LIKE '/health%' OR path LIKE '/metrics%' OR token = '' OR header = 'Bearer ' || token THEN 200 ELSE 401 END AS bearer,
+  CASE WHEN token = '' THEN 503 WHEN key = token THEN 200 ELSE 401 END AS api_key
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/health/live' WHEN 1 THEN '/metrics' ELSE '/mcp' END AS path, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS token,
+  CASE WHEN doc_id % 3 = 0 THEN 'Bearer ' || lang WHEN doc_id % 3 = 1 THEN 'Bearer x' END AS header, CASE WHEN doc_id % 6 < 4 THEN lang END AS key FROM {documents})""")
+def _(d: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    path = F.when(k % 4 == 0, "/health/live").when(k % 4 == 1, "/metrics").otherwise("/mcp")
+    token = F.when(k % 5 != 0, F.col("lang"))
+    header = F.when(k % 3 == 0, F.concat(F.lit("Bearer "), "lang")).when(k % 3 == 1, "Bearer x")
+    return d.select("doc_id", access.bearer_status(path, header, token).alias("bearer"), access.api_key_status(F.when(k % 6 < 4, F.col("lang")), token).alias("api_key"))
+
+
+@query("job_09_child_outcome", "events", """
+SELECT event_id, CASE WHEN value * 10 >= 870 THEN 'converter_timeout' WHEN event_id % 7 = 0 THEN 'converter_oom' WHEN event_id % 5 = 0 OR event_id % 11 = 0 THEN 'converter_child_failed' END AS reason FROM {events}""")
+def _(e: DataFrame) -> DataFrame:
+    code = F.when(F.col("event_id") % 7 == 0, -9).when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    line = F.when(F.col("event_id") % 11 == 0, "Traceback").otherwise('{"ok": true}')
+    return e.select("event_id", jobs.child_reason(code, F.col("value") * 10, line).alias("reason"))
+
+
+@query("job_10_admission", "events", """
+WITH r AS (SELECT user_id, list(CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END ORDER BY event_id) AS readings FROM {events} GROUP BY 1)
+SELECT user_id, CAST(coalesce(list_min(list_filter(list_transform(range(1, 41), lambda k: CASE WHEN k <= len(readings) AND coalesce(readings[k], 999) >= 90 THEN (k - 1) * 3 END), lambda x: x IS NOT NULL)), 120) AS INT) AS waited FROM r""")
+def _(e: DataFrame) -> DataFrame:
+    reading = F.when(F.col("event_id") % 13 != 0, F.col("value"))
+    r = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", reading.alias("free")))), lambda x: x["free"]).alias("readings"))
+    return r.select("user_id", jobs.admission_wait(F.col("readings"), 90).alias("waited"))
+
+
+@query("obs_05_load_plan", "events", """
+WITH d AS (SELECT event_id AS request, user_id % 30 AS stage, ['recent', 'find', 'document', 'structure', 'pages'][CAST(event_id % 5 AS INT) + 1] AS drawn FROM {events}
+), n AS (SELECT *, row_number() OVER (PARTITION BY stage, drawn ORDER BY request) AS nth FROM d)
+SELECT request, stage, least(50, 2 + stage * 2) AS concurrency, CASE WHEN drawn = 'find' AND nth > 3 THEN 'recent' ELSE drawn END AS tool FROM n""")
+def _(e: DataFrame) -> DataFrame:
+    draws = e.select(F.col("event_id").alias("request"), (F.col("user_id") % 30).alias("stage"))
+    return stats.load_plan(draws, ("recent", "find", "document", "structure", "pages"), "find", "recent", 3)
+
+
+@query("udf_05_configuration", "documents", """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'azure' ELSE 'openai' END AS provider,
+  CASE WHEN doc_id % 5 = 0 THEN 'no model' WHEN doc_id % 3 = 0 THEN 'no key for ' || CASE WHEN doc_id % 2 = 0 THEN 'azure' ELSE 'openai' END END AS error FROM {documents}""")
+def _(d: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    url = F.when(k % 2 == 0, "https://x.OpenAI.azure.com")
+    return d.select("doc_id", models.provider(url).alias("provider"), models.config_error(F.when(k % 5 != 0, "m"), url, F.when(k % 3 == 0, " ").otherwise("secret")).alias("error"))
+
+
+@query("fmt_11_summaries", "turn_nodes", r"""
+SELECT doc_id, node_id, ord, CASE WHEN len(regexp_extract_all(text, '\S+')) >= 20 THEN left(string_split(text, '.')[1], 200) ELSE text END AS summary FROM {turn_nodes}""")
+def _(t: DataFrame) -> DataFrame:
+    return nodes.summaries(t, models.complete, least_words=20).select("doc_id", "node_id", "ord", "summary")

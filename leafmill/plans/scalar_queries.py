@@ -152,10 +152,13 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("key", T.basename(k).alias("base"), T.suffix(k).alias("suffix"), T.stem(k).alias("stem"))
 
 
-@query("str_16_mask", "turn_nodes", "SELECT doc_id, ord, 'masked' AS title, 'masked' AS text, start_index FROM {turn_nodes}")
+@query("str_16_mask", "turn_nodes", """
+SELECT doc_id, ord, '{"title":"masked","pages":[' || coalesce(CAST(start_index AS VARCHAR), 'null') || ',' || coalesce(CAST(end_index AS VARCHAR), 'null') || '],"parts":[{"text":' || CASE WHEN ord % 2 = 0 THEN '"masked"' ELSE 'null' END || ',"last":' || CASE WHEN ord > 3 THEN 'true' ELSE 'false' END || '}],"by":{"' || title || '":"masked"}}' AS body
+FROM {turn_nodes}""")
 def _(t: DataFrame) -> DataFrame:
-    mask = lambda c: F.when(F.col(c).isNotNull(), F.lit("masked")).alias(c)
-    return t.select("doc_id", "ord", mask("title"), mask("text"), "start_index")
+    part = F.struct(F.when(F.col("ord") % 2 == 0, F.coalesce("text", F.lit(""))).alias("text"), (F.col("ord") > 3).alias("last"))
+    deep = t.select("doc_id", "ord", F.struct("title", F.array("start_index", "end_index").alias("pages"), F.array(part).alias("parts"), F.create_map("title", F.coalesce("text", F.lit(""))).alias("by")).alias("x"))
+    return deep.select("doc_id", "ord", F.to_json(T.mask(F.col("x"), deep.schema["x"].dataType), {"ignoreNullFields": "false"}).alias("body"))
 
 
 # -- filters -----------------------------------------------------------------------------------------

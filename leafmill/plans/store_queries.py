@@ -66,9 +66,9 @@ def _(o: DataFrame) -> DataFrame:
     return store.list_documents(o).select("doc_id", "key")
 
 
-@query("src_08_hash_cache", "uploads", "SELECT filename, max(sha256(text)) AS sha256 FROM {uploads} WHERE doc_id % 3 > 0 GROUP BY 1")
+@query("src_08_hash_cache", "uploads", "SELECT filename, arg_max(sha256(text), doc_id) AS sha256 FROM {uploads} WHERE doc_id % 3 > 0 GROUP BY 1")
 def _(u: DataFrame) -> DataFrame:
-    return u.filter("doc_id % 3 > 0").groupBy("filename").agg(F.max(F.sha2("text", 256)).alias("sha256"))
+    return store.hash_cache(u.filter("doc_id % 3 > 0").select("filename", F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("upload")))
 
 
 @query("src_09_staging_keys", "uploads", "SELECT doc_id, 'uploads/staging/' || CAST(doc_id AS VARCHAR) || '/' || filename AS key FROM {uploads}")
@@ -76,9 +76,10 @@ def _(u: DataFrame) -> DataFrame:
     return u.select("doc_id", store.staging_key(F.col("doc_id").cast("string"), F.concat(F.lit("/tmp/in/"), F.col("filename"))).alias("key"))
 
 
-@query("src_11_outline_entries", "outline", "SELECT doc_id, count(*) AS entries FROM {outline} GROUP BY 1 HAVING count(*) >= 2")
+@query("src_11_outline_entries", "outline", """
+SELECT doc_id, i, CAST(level AS INT) AS level, title, CAST(CASE WHEN i % 7 = 0 THEN 0 ELSE page END AS INT) AS page FROM {outline} WHERE doc_id IN (SELECT doc_id FROM {outline} GROUP BY 1 HAVING count(*) >= 2)""")
 def _(o: DataFrame) -> DataFrame:
-    return o.groupBy("doc_id").agg(F.count("*").alias("entries")).filter("entries >= 2")
+    return outline.read_outline(o.select("doc_id", "i", (F.col("level") - 1).alias("level"), "title", F.when(F.col("i") % 7 != 0, F.col("page") - 1).alias("page")))
 
 
 @query("snk_03_sidecar", "objects", """

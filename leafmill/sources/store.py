@@ -116,6 +116,11 @@ def upsert(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
     return table.join(rows.select(*key), list(key), "left_anti").unionByName(rows)
 
 
+def hash_cache(uploads: DataFrame) -> DataFrame:
+    """filename, sha256 of what was processed last under each name (upload is the order)."""
+    return uploads.groupBy("filename").agg(F.max_by("sha256", "upload").alias("sha256"))
+
+
 def missing_files(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Local files whose name isn't there yet."""
     return local.join(remote.select("name"), "name", "left_anti")

@@ -48,6 +48,29 @@ def job_states(events: DataFrame, clear_on_success: bool = True) -> DataFrame:
     return out
 
 
+#: Seconds that a conversion may take, and what memory admission waits between looks and in all.
+CHILD_TIMEOUT_S, POLL_S, MAX_WAIT_S = 870, 3, 120
+KILLED = -9
+
+
+def child_reason(code: Column, seconds: Column, line: Column) -> Column:
+    """Why a conversion in a process of its own failed, null if it didn't: it took too long, it was killed
+    (out of memory), it ended with an error, or its line of output isn't JSON."""
+    return (
+        F.when(seconds >= CHILD_TIMEOUT_S, "converter_timeout")
+        .when(code == KILLED, "converter_oom")
+        .when((code != 0) | F.get_json_object(line, "$").isNull(), DEFAULT_REASON)
+    )
+
+
+def admission_wait(readings: Column, floor: float) -> Column:
+    """Seconds until a job may start, given what is free at each look: at the first one with enough, or that
+    nobody could read; after the longest wait it starts anyway."""
+    looks = F.slice(readings, 1, MAX_WAIT_S // POLL_S)
+    good = F.transform(looks, lambda x, k: F.when(x.isNull() | (x >= floor), k))
+    return F.coalesce(F.array_min(good) * POLL_S, F.lit(MAX_WAIT_S))
+
+
 def lookup(states: DataFrame, now: Column, ttl: int = JOB_TTL_S) -> DataFrame:
     """Jobs that are still known: others have expired."""
     return states.filter(now - F.col("updated_at") <= ttl)

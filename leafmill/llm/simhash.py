@@ -9,7 +9,8 @@ retained, and their bits are verified. A list gives a spanning forest of its lin
 
 Lists over LIST_LIMIT are posted again under a fifth byte (of the other four positions one must still
 agree). Such a list has only 24 free bits, hence at most 2**24 different fingerprints, and beyond
-LIST_LIMIT it is linked by looking up neighbours instead of comparing all pairs.
+LIST_LIMIT its candidate pairs are looked up instead of taking all pairs; they are tallied and
+verified alike.
 """
 
 from __future__ import annotations
@@ -90,12 +91,22 @@ def link_list(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
     order = np.argsort(fps)
     ordered = fps[order]
 
+    # The candidates of each mask are tallied and verified like any pair: that they are there is looked up.
+    found = []
+    for m in masks:
+        want = fps ^ m
+        at = np.minimum(np.searchsorted(ordered, want), n - 1)
+        a = np.nonzero(ordered[at] == want)[0]
+        b = order[at[a]]
+        x = fps[a] ^ fps[b]
+        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+        linked = (shared >= 8 - bits) & (popcount(x) <= bits)
+        found.append(np.stack([a[linked], b[linked]]))
+    a, b = np.concatenate(found, axis=1)
+
     def near(labels: np.ndarray) -> np.ndarray:
         best = labels.copy()
-        for m in masks:
-            want = fps ^ m
-            at = np.minimum(np.searchsorted(ordered, want), n - 1)
-            best = np.minimum(best, np.where(ordered[at] == want, labels[order[at]], n))
+        np.minimum.at(best, a, labels[b])
         return best
 
     return _forest(fps, near)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -93,6 +94,9 @@ def test_sharding(spark, corpus):
     first = shard_rows(table(spark, corpus), shards=8, rows_per_partition=20)
     got = first.collect()
     assert sorted(got, key=str) == sorted(shard_rows(table(spark, corpus), shards=8, rows_per_partition=20).collect(), key=str)
+    # Sizes and checksums by definition, and nothing lost: rows are matched one by one.
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for d, t, _ in corpus)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == want
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
@@ -381,3 +385,115 @@ def test_native_operators_have_no_python(spark, corpus):
     for df in (exact_dedup(t), quality_rules(t), mix(t), shard_rows(t), chat_windows(turns)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Cartesian"))
+
+
+def test_sharding_is_uniform(spark):
+    """Over seeds, each row meets each shard and each place alike."""
+    rows = [(k, f"text {k}", "s") for k in range(24)]
+    t, seen = table(spark, rows).cache(), Counter()
+    for seed in range(40):
+        for r in shard_rows(t, shards=4, seed=seed, rows_per_partition=5).collect():
+            seen[(r.doc_id % 2, r.shard)] += 1
+            seen[("slot", r.slot)] += 1
+    assert all(seen[("slot", k)] == 160 for k in range(6))
+    assert all(abs(seen[(odd, s)] - 120) < 45 for odd in range(2) for s in range(4))
+
+
+def test_segments_and_spans():
+    """The spans themselves, on whole numbers that leave no ties: each maximal stretch holds no better one."""
+    import numpy as np
+
+    rng = random.Random(7)
+    for _ in range(200):
+        x = [rng.choice([-1, 1]) * (2**k + rng.random() / 8) for k in rng.sample(range(10), rng.randint(0, 10))]
+
+        def split(a, z):
+            best = max(((sum(x[i:j]), i, j) for i in range(a, z) for j in range(i + 1, z + 1)), default=None)
+            return [] if best is None or best[0] <= 0 else split(a, best[1]) + [(best[1], best[2])] + split(best[2], z)
+
+        assert [(a, z) for a, z, _ in segments(np.array(x, float))] == split(0, len(x))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Counts, priors, log-odds, segments and calibration by plain loops."""
+    import math
+
+    import numpy as np
+
+    from leafmill.llm.toxicity import fit, score
+
+    rng = random.Random(9)
+    docs = []
+    for k in range(400):
+        own = rng.choices([f"w{i}" for i in range(40)], k=rng.randint(1, 40))
+        if k % 5 == 0:
+            own[len(own) // 2 : len(own) // 2] = rng.choices(["vile", "nasty"], k=3)
+        docs.append((k, " ".join(own), int(k % 5 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, t string, toxic int")
+    model = fit(df.select("doc_id", "t"), df.select("doc_id", "toxic"))
+    check = {r.doc_id for r in df.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3).select("doc_id").collect()}
+    a, b = Counter(), Counter()
+    for d, t, y in docs:
+        if d not in check:
+            (a if y else b).update(set(t.split()))
+    n1, n0 = sum(a.values()), sum(b.values())
+    prior, weights, rest = max(1.0, 0.1 * n1), {}, [0, 0]
+    for w in a.keys() | b.keys():
+        share = prior * (a[w] + b[w]) / (n1 + n0)
+        p, q = a[w] + share + n1 / max(n1, n0), b[w] + share + n0 / max(n1, n0)
+        delta, margin = math.log(p / (n1 + prior)) - math.log(q / (n0 + prior)), 2 * math.sqrt(1 / p + 1 / q)
+        if abs(delta) > margin:
+            weights[w] = math.copysign(abs(delta) - margin, delta)
+        else:
+            rest = [rest[0] + a[w], rest[1] + b[w]]
+    drift = min(-0.02, math.log((rest[0] + prior) / (n1 + prior)) - math.log((rest[1] + prior) / (n0 + prior)))
+    assert model.weights == pytest.approx(weights) and model.drift == pytest.approx(drift) and {"vile", "nasty"} <= set(weights)
+
+    def best(words):
+        s = [weights.get(w, drift) for w in words]
+        return max((sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if sum(s[i:j]) > 0), default=None)
+
+    null = [(s, math.log(len(t.split()))) for d, t, y in docs if d in check and not y and (s := best(t.split())) is not None]
+    beta = max(0.25, float(np.std([s - n for s, n in null])) * math.sqrt(6) / math.pi) if len(null) > 9 else 1.0
+    mu = float(np.mean([s - beta * n for s, n in null])) - 0.5772156649 * beta if len(null) > 9 else 0.0
+    assert (model.beta, model.mu) == pytest.approx((beta, mu))
+    for _, t, _ in docs[:60]:
+        words = t.split()
+        top = best(words)
+        strength = -5.0 if top is None else (top - mu - beta * math.log(len(words))) / beta
+        found = score(words, model)[1]
+        assert max((s for *_, s in found), default=None) == (pytest.approx(strength) if strength > 0 else None)
+
+
+def test_exchange_does_not_grow_with_buckets():
+    """Bytes of the rows of stage 1, as Spark stores them, over the number of buckets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from leafmill.llm import packed as K
+
+    rng = np.random.default_rng(3)
+    texts = pa.array([b"x" * 1_000] * 4_000, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4_000), pa.int64()), texts], ["doc_id", "body"])
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def size(nb):
+        symbols = lambda t: (rng.integers(0, 1 << 47, 800 * len(t)).astype(np.uint64), np.repeat(np.arange(len(t)), 800))
+        rows = [r for b in K.symbols_stage(iter([batch]), nb, symbols, lambda t: nothing) for r in b.column("body").to_pylist()]
+        return sum(64 + len(r) for r in rows)
+
+    few, many = size(65), size(50_001)
+    assert many < 1.25 * few
+
+
+def test_hot_symbol_sends_one_entry_per_gathering():
+    import numpy as np
+
+    from leafmill.llm import packed as K
+
+    out = K.Out(65)
+    sent = []
+    for _ in range(100):
+        out.gather("x", lambda s: sent.append(np.unique(s)), np.full(10_000, 7, np.uint64))
+    list(out.finish())
+    assert sum(map(len, sent)) <= 1 + 100 * 10_000 // out.limit

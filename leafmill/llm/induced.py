@@ -9,23 +9,34 @@ their two sources.
 
 The queue keeps at most `limit` tuples in memory; beyond that it writes them to a run on disk, sorted
 by priority, and reads a priority's part of each run when its turn comes. The substrings to be named
-are sorted in runs on disk as well. The symbols themselves stay in memory, one byte each at the top.
+are sorted in runs on disk as well. The symbols themselves, the run lengths and the two results stay in
+memory: some 30 bytes a symbol.
 """
 
 from __future__ import annotations
 
 import heapq
+import os
 import pickle
 import tempfile
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
-LIMIT = 4_000_000
+#: Tuples that a queue, and entries that a sort, keep in memory: most shards have more, so they go through
+#: the disk. A larger text has longer runs, so that it never needs more than MOST_RUNS of them at once.
+LIMIT, MOST_RUNS = 1 << 16, 256
 #: Above every symbol that a str can compare.
 TOP = 0x10FFFF
 
 
+def spool():
+    """A file on the executor's own disk, gone as soon as it is closed or its process ends: what it holds is
+    made anew by a task that runs again."""
+    at = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=at if os.path.isdir(at) else None)
+
+
 class DiskQueue:
     """Priority queue of (symbol, position, prefix), first come first served within a symbol."""
 
@@ -46,7 +57,7 @@ class DiskQueue:
             self._spill()
 
     def _spill(self) -> None:
-        f = tempfile.TemporaryFile()
+        f = spool()
         index = {}
         for s in sorted(self.positions):
             index[s] = (f.tell(), len(self.positions[s]))
@@ -106,7 +117,7 @@ def _sorted_externally(items: Iterator[tuple], limit: int) -> Iterator[tuple]:
         own.append(x)
         if len(own) >= limit:
             own.sort()
-            f = tempfile.TemporaryFile()
+            f = spool()
             for i in range(0, len(own), 10_000):
                 pickle.dump(own[i : i + 10_000], f, -1)
             pickle.dump([], f, -1)
@@ -122,6 +133,7 @@ def suffix_array(text: Sequence[int], limit: int = LIMIT) -> tuple[array, array]
     n = len(text)
     if n == 0:
         return array("q"), array("q")
+    limit = max(limit, n // MOST_RUNS)
     # Whether a suffix is smaller than the next one (S); the last is larger than the empty one (L).
     rising = bytearray(n + 1)
     rising[n] = 1

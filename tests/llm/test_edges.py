@@ -497,3 +497,19 @@ def test_hot_symbol_sends_one_entry_per_gathering():
         out.gather("x", lambda s: sent.append(np.unique(s)), np.full(10_000, 7, np.uint64))
     list(out.finish())
     assert sum(map(len, sent)) <= 1 + 100 * 10_000 // out.limit
+
+
+def test_suffix_sorting_goes_through_the_disk(monkeypatch):
+    """At its production limit a shard of the usual size spills, and sorts the same."""
+    from leafmill.llm import induced
+
+    rng = random.Random(3)
+    text = [rng.randint(1, 60) for _ in range(150_000)]
+    text[100_000:140_000] = text[20_000:60_000]
+    made = []
+    own = induced.spool
+    monkeypatch.setattr(induced, "spool", lambda: made.append(1) or own())
+    on_disk = induced.suffix_array(text, induced.LIMIT)
+    assert made
+    made.clear()
+    assert induced.suffix_array(text, 10**9) == on_disk and not made

@@ -344,20 +344,20 @@ def _(t: DataFrame) -> DataFrame:
 
 
 @query("agg_09_content_class", "documents", r"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'flat_kv' WHEN doc_id % 3 = 1 THEN CASE WHEN trim(text) = '' THEN 'flat_kv' ELSE 'flat_mixed' END ELSE 'flat_prose' END AS content_class FROM {documents} WHERE NOT contains(text, '|')""")
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'flat_kv' WHEN doc_id % 3 = 1 THEN CASE WHEN trim(text) = '' THEN 'flat_kv' ELSE 'flat_mixed' END ELSE 'flat_prose' END AS content_class FROM {documents}""")
 def _(t: DataFrame) -> DataFrame:
-    md = F.when(F.col("doc_id") % 3 == 0, F.lit("1.1 Zweck\n2 Umfang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("3) Punkt\n\n"), F.col("text"))).otherwise(F.col("text"))
-    d = t.filter(~F.col("text").contains("|")).select("doc_id", md.alias("md"))
-    return flat.blocks(d).select("doc_id", flat.content_class(F.col("blocks")).alias("content_class"))
+    text = F.translate("text", "|", "/")  # no text is a table of its own
+    md = F.when(F.col("doc_id") % 3 == 0, F.lit("1.1 Zweck\n2 Umfang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("3) Punkt\n\n"), text)).otherwise(text)
+    return flat.blocks(t.select("doc_id", md.alias("md"))).select("doc_id", flat.content_class(F.col("blocks")).alias("content_class"))
 
 
 @query("win_09_prose_blocks", "documents", r"""
-SELECT doc_id, CASE WHEN regexp_replace(text, '\s', '', 'g') = '' THEN NULL ELSE trim(replace(text, chr(10), ' ')) END AS prose
-FROM {documents} WHERE NOT regexp_matches(text, '(^|\n)\s*([0-9]|#|$|\n)') AND NOT contains(text, '|')""")
+SELECT doc_id, CASE WHEN regexp_replace(x, '\s', '', 'g') = '' THEN NULL ELSE trim(replace(x, chr(10), ' ')) END AS prose
+FROM (SELECT doc_id, regexp_replace(translate(text, '|#0123456789', '/+oooooooooo'), '\n\s+', chr(10), 'g') AS x FROM {documents})""")
 def _(t: DataFrame) -> DataFrame:
-    own = t.filter(~F.col("text").rlike("(^|\\n)\\s*([0-9]|#|$|\\n)") & ~F.col("text").contains("|"))
-    b = flat.blocks(own.select("doc_id", F.col("text").alias("md")))
-    return b.select("doc_id", F.get("blocks", F.lit(0))["text"].alias("prose"))
+    # Digits, hashes, pipes and blank lines would begin other blocks: every text is one block of prose.
+    own = F.regexp_replace(F.translate("text", "|#0123456789", "/+oooooooooo"), "\\n\\s+", "\n")
+    return flat.blocks(t.select("doc_id", own.alias("md"))).select("doc_id", F.get("blocks", F.lit(0))["text"].alias("prose"))
 
 
 # -- oversized leaves -----------------------------------------------------------------------------------

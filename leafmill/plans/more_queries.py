@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import access, models
+from leafmill.functions import text as T
 from leafmill.operators import flat, gate, levels, nodes, outline, split, stats
 from leafmill.plans import retrieve
 from leafmill.plans.registry import query
-from leafmill.plans.scalar_queries import join
+from leafmill.plans.scalar_queries import CELLS, join
 from leafmill.streaming import jobs
 from leafmill.plans.store_queries import LIBRARY, library, stand_in
 from leafmill.plans.tree_queries import BROKEN, CONTAIN, GEO, VERDICT, geo, legal, outline_parts, pair, tables, titled
@@ -228,3 +229,19 @@ def _(d: DataFrame) -> DataFrame:
 SELECT doc_id, node_id, ord, CASE WHEN len(regexp_extract_all(text, '\S+')) >= 20 THEN left(string_split(text, '.')[1], 200) ELSE text END AS summary FROM {turn_nodes}""")
 def _(t: DataFrame) -> DataFrame:
     return nodes.summaries(t, models.complete, least_words=20).select("doc_id", "node_id", "ord", "summary")
+
+
+@query("job_12_bounded_calls", "conversations", "SELECT count(*) AS rows, true AS bounded FROM {conversations}")
+def _(c: DataFrame) -> DataFrame:
+    calls = models.bounded(c, 3).select(F.spark_partition_id().alias("worker"))
+    return calls.agg(F.count("*").alias("rows"), (F.count_distinct("worker") <= 3).alias("bounded"))
+
+
+@query("flat_09_cells", "order_lines", f"""
+SELECT doc_id, pos0, k, len({CELLS}) AS cells, contains(line, '|') AS piped, CASE WHEN pos0 = 2 THEN array_to_string(list_transform(list_zip(['order', 'status', 'col3'], {CELLS}), lambda x: x[1] || ': ' || x[2]), '; ') END AS record,
+  len(list_filter({CELLS}, lambda c: regexp_matches(c, '^[0-9٠-٩][0-9٠-٩\\s/\\-.:,]*$'))) AS numbers FROM {{order_lines}}""")
+def _(t: DataFrame) -> DataFrame:
+    cells = T.pipe_cells(F.col("line"))
+    record = F.when(F.col("pos0") == 2, T.row_record(F.array(F.lit("order"), F.lit("status")), cells))
+    numbers = F.size(F.filter(cells, T.is_number_cell))
+    return t.select("doc_id", "pos0", "k", F.size(cells).alias("cells"), T.is_pipe_row(F.col("line")).alias("piped"), record.alias("record"), numbers.alias("numbers"))

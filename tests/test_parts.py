@@ -117,3 +117,20 @@ def test_search_by_model_survives_failures(spark):
     assert got == {3: (1, "flat text", None), 2: (2, None, "RuntimeError: no"), 1: (3, "x", None)}
     none = retrieve.search_by_model(docs, nodes, flats, "q", lambda p: "[]" if p.startswith("documents") else "not json")
     assert {r.doc_id: r.error is None for r in none.collect()} == {1: False, 2: False, 3: True}
+
+
+def test_oversized_leaves_by_brute_force():
+    """Cuts of a leaf: the text comes back whole, segments begin at their ordinals, and each is cut again while it is too long."""
+    r = random.Random(5)
+    for _ in range(60):
+        numbers = [r.randrange(1, 9) for _ in range(r.randrange(0, 8))]
+        text = "".join(f"Article ({n}) " + "x" * r.randrange(0, 60) + "\n" for n in numbers)
+        got = split.split_leaf("n", text, 80, 3, 10)
+        assert "".join(g[4] for g in got) == text
+        runs = split.increasing_run(numbers)
+        firsts = [g for g in got if g[3] == 1]
+        if len(text) > 80 and len(runs) >= 3:
+            assert len(firsts) == len(runs) and all(g[4].startswith(f"Article ({numbers[k]})") for g, k in zip(firsts, runs))
+            assert [g[0] for g in firsts] == [f"n-s{k}" for k in range(len(runs))] and {g[1] for g in firsts} == {"n"}
+        else:
+            assert got == [("n", None, "", 0, text)]

@@ -46,7 +46,7 @@ def test_search_reads_flat_documents(spark):
     t = spark.createDataFrame([(0, f"n{k}", k, "t", x) for k, x in enumerate(["of", "the that", "x"])], "doc_id long, node_id string, ord int, title string, text string")
     long = "word " * 300 + "the of"
     d = spark.createDataFrame([(0, long), (1, "zzz"), (2, "of that the " + long)], "doc_id long, text string")
-    got = [tuple(r) for r in inner("ret_02_find_relevant")(c, t, d).orderBy("pos").collect()]
+    got = [tuple(r) for r in inner("ret_07_lexical")(c, t, d).orderBy("pos").collect()]
     # By the words found, then by id: conv0 (3), doc2 (3), doc0 (2), conv2 (1, no nodes).
     assert got == [(0, "conv0", 1, "the that\n\nof"), (5, "doc2", 2, "of that the " + long), (1, "doc0", 3, long)]
 

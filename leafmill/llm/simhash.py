@@ -138,7 +138,8 @@ def links(distinct: DataFrame) -> DataFrame:
     coarse = distinct.select("fp", F.posexplode(F.array(*[_key(p, k) for k, p in enumerate(KEYS)])).alias("set", "key"))
     coarse = coarse.select("key", "set", "fp")
     sizes = coarse.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = coarse.join(sizes, "key")
+    # Spark takes the exploded keys for as small as the fingerprints they come from: never by broadcast.
+    sized = coarse.hint("merge").join(sizes.hint("merge"), "key")
     lists = sized.filter(F.col("n") <= LIST_LIMIT).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     large = sized.filter(F.col("n") > LIST_LIMIT)
     finer = [

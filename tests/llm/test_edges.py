@@ -219,6 +219,16 @@ def test_simhash_dense_list(spark):
     assert (small[a] == small[b]).all()
 
 
+def test_simhash_index_is_never_broadcast(spark):
+    # The 14 keys of a fingerprint, exploded, pass Spark's size check as one; at 0.6 GB they don't fit the driver.
+    from leafmill.llm.simhash import links
+
+    edges = links(spark.range(40).select((F.col("id") * 7 % 32).alias("fp")).distinct())
+    assert edges.count() > 0
+    edges.collect()
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fingerprint_by_definition():
     import xxhash
 

@@ -36,9 +36,9 @@ def relevel(md: Column) -> Column:
     """The shallowest heading becomes level one; a scalar expression, without a shuffle."""
     marks = F.transform(F.regexp_extract_all(md, F.lit("(?m)^(#{1,6})(?=\\s)"), F.lit(1)), F.length)
     shift = F.coalesce(F.array_min(marks), F.lit(1)) - 1
-    moved = F.array_join(
-        F.transform(F.split(md, "\n", -1), lambda x: F.when(x.rlike("^#{1,6}(?=\\s)"), F.substr(x, shift + 1)).otherwise(x)), "\n"
-    )
+    # One pass over the text: inside a transform of its lines, the shift would be found anew for each line.
+    own = F.concat(F.lit("(?md)^#{"), shift.cast("string"), F.lit("}(?=#{1,"), (F.lit(6) - shift).cast("string"), F.lit("}[^\\S\\n])"))
+    moved = F.regexp_replace(md, own, F.lit(""))
     return F.when(shift > 0, moved).otherwise(md)
 
 

@@ -103,6 +103,22 @@ def test_relevel(spark):
     assert [r[0] for r in d.select(levels.relevel(F.col("md"))).collect()] == ["# a\ntext # no\n## b", "# a", "no"]
 
 
+def test_relevel_long_documents(spark):
+    import re
+    import time
+
+    odd = ["## a", "###", "## ", "### b\r", "x\u2028### c", "#######  d", "###### e", " ## f", "text", "", "##\tg", "#"]
+    long = "\n".join(["## top"] + [f"### Heading {k}\nbody" for k in range(40_000)])
+    for md in ("\n".join(odd[:-1]), "\n".join(odd), long):
+        marks = [len(m) for m in re.findall(r"(?:^|(?<=[\n\r\u2028]))(#{1,6})(?=\s)", md)]
+        shift = min(marks) - 1
+        want = "\n".join(x[shift:] if re.match(r"#{1,6}(?=[ \t\r])", x) else x for x in md.split("\n"))
+        d = spark.createDataFrame([(md,)], "md string")
+        began = time.time()
+        assert d.select(levels.relevel(F.col("md"))).first()[0] == want
+        assert time.time() - began < 30  # the shift once a document; once a line takes minutes
+
+
 def test_recovery_chain(spark):
     d = md(spark, "# A\nx\n# A.1\n# A.1.1 t\n# B", "# Teil A\n# Abschnitt A1\n# A1-6", "# Prosa\n# Noch mehr")
     got = {r.doc_id: [line for line in r.md.split("\n") if line.startswith("#")] for r in levels.recover_depth(d).collect()}

@@ -1,6 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash and by MinHash, verified by the Jaccard similarity of word shingles.
 
-MinHash bands find candidates: BANDS keys of ROWS least hashes each, so a pair of similarity 0.8 misses
+The index of simhash.py finds the texts whose fingerprints are within its three bits: positional bytes,
+count filter, bits. A text goes with the texts it is linked to there, in blocks of BLOCK, and what the
+shingle sets verify is an edge.
+
+At the similarity asked for, most pairs differ in more bits than that index can be asked for. MinHash
+bands find those too: BANDS keys of ROWS least hashes each, so a pair of similarity 0.8 misses
 all of them with a chance of 3 in a million, a more similar one with less. Candidates are verified by
 the shingle sets themselves, and every pair of a list that isn't connected already is verified:
 
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut, first_row, in_bitmap, join_groups, text_or_empty
 from .components import components
 from .packed import splitmix
+from .simhash import fingerprint, links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -124,7 +130,8 @@ def near_components(
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             node = pa.array([0 if not len(k) else n for n, k in zip(b.column(2).to_pylist(), keys, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, lists], ["doc_id", "row", "node", "keys"])
+            fp = pa.array(np.fromiter(map(fingerprint, b.column(3).to_pylist()), np.uint64, b.num_rows).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, lists, fp], ["doc_id", "row", "node", "keys", "fp"])
 
     def dealt_rows(group: list[str], nodes: list[int], bodies: list[bytes]) -> pa.RecordBatch:
         columns = [pa.array(group, pa.string()), pa.array(nodes, pa.int64()), pa.array(bodies, pa.binary())]
@@ -171,7 +178,7 @@ def near_components(
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row"), text_or_empty(text_col).alias("t"))
     texts = texts.select("doc_id", "row", F.xxhash64("t").alias("node"), "t")
-    rows = cut(texts.mapInArrow(sketch, f"doc_id long, row {key_type}, node long, keys array<long>"))
+    rows = cut(texts.mapInArrow(sketch, f"doc_id long, row {key_type}, node long, keys array<long>, fp long"))
     posts = rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     # Keys with the same documents are one list: their number and two hashes of them agree.
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
@@ -180,7 +187,14 @@ def near_components(
     total = rows.count() * BANDS
     of_node = F.col("node").cast("string")
     listed = cut(join_groups(posts, sizes, "key", "n", total, of_node).filter("n IS NOT NULL"))
-    members = listed.select("node").distinct()
+    # The SimHash index: each text and the one it hangs on, over equal fingerprints and over links.
+    prints = cut(rows.filter(F.size("keys") > 0).select("fp", "node").distinct())
+    firsts = prints.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
+    equal = join_groups(prints, firsts, "fp", "n", total, of_node).select("hub", "node")
+    child, hub = firsts.select(F.col("fp").alias("a"), F.col("hub").alias("node")), firsts.select(F.col("fp").alias("b"), "hub")
+    hung = links(firsts.select("fp")).distinct().join(child, "a").join(hub, "b").select("hub", "node")
+    stars = cut(equal.union(hung).filter("hub <> node"))
+    members = listed.select("node").union(stars.select("node")).union(stars.select("hub")).distinct()
     bodies = cut(in_bitmap(texts.select("node", "t"), members, "node", members.count()).dropDuplicates(["node"]))
 
     def linked(wanted: DataFrame) -> DataFrame:
@@ -195,6 +209,10 @@ def near_components(
     def block(n: Column) -> Column:
         return F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK))
 
+    of_hub = stars.groupBy("hub").agg(F.count("*").alias("m"))
+    met = join_groups(stars, of_hub, "hub", "m", total, of_node).select("hub", "node", group_of(F.lit("s"), F.col("hub"), block(F.col("m"))))
+    by_print = linked(met.select("node", "group").union(met.select("hub", "group").distinct()))
+
     # 1: the largest list of each text. Each is in one group, so what it is linked to is its label.
     picked = listed.groupBy("node").agg(F.max(F.struct("n", "key")).alias("p")).select("node", "p.key")
     own = picked.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
@@ -243,7 +261,7 @@ def near_components(
         top = F.col("label") == F.col("top.label")
         groups = F.when(F.col("n") <= LIST_LIMIT, one).when(others > LIST_LIMIT, to_pairs).when(top, to_one).otherwise(to_all)
         edges = edges.union(linked(met.select("node", F.explode(groups).alias("group"))))
-    roots = components(edges)
+    roots = components(edges.union(by_print))
 
     nodes = rows.groupBy("node").agg(first_row("doc_id", "row").alias("first"), F.count("*").alias("n"))
     roots = roots.select(F.col("node").alias("linked"), "root")

@@ -91,3 +91,19 @@ def test_near_rounds_against_all_pairs(spark, sf_dir, monkeypatch):
     r.shuffle(docs)
     got = corpus_pipeline.near_stage(spark, frame(spark, docs), sf_dir).collect()
     assert {x.doc_id for x in got} == kept(docs)
+
+
+def test_near_stage_goes_through_the_simhash_index(spark, sf_dir, monkeypatch):
+    """Without the bands, the copies within three bits of a fingerprint are still found, and verified."""
+    from leafmill.llm import near
+    from leafmill.llm.simhash import fingerprint
+
+    monkeypatch.setattr(near, "band_keys", lambda own: np.bitwise_xor.reduce(own, keepdims=True) if len(own) else own)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    base = [f"w{k}" for k in range(900)]
+    docs = [(k, " ".join([*base[:-1], f"end{k}"])) for k in range(30)]  # one shingle of each is its own
+    docs += [(100, "same fingerprint of all"), (101, "Same  fingerprint of all"), (102, "a text by itself"), (103, ""), (104, " ")]
+    fps = [fingerprint(t) for _, t in docs[:30]]
+    assert all((x ^ y).bit_count() <= 3 for x in fps for y in fps[:1])
+    got = corpus_pipeline.near_stage(spark, frame(spark, docs), sf_dir).collect()
+    assert {r.doc_id for r in got} == {0, 100, 102, 103}
